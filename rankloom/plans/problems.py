@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.asof import as_known
+from rankloom.operators.impute import Number, Word, impute
 from rankloom.operators.intervals import periods_and_gaps
 from rankloom.operators.regrid import regrid
 from rankloom.operators.rolling import rolling_totals
+from rankloom.operators.spikes import implausible
 from rankloom.session import table
 
 
@@ -18,9 +20,17 @@ def _day(c: str):
     return F.date_format(F.col(c), "yyyy-MM-dd")
 
 
+def p1_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return implausible(table(spark, sf, "residualizer"), "bar_id", "ticker", "date", "close", "log_ret", "volume")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_flags(spark, sf).select("bar_id")
+
+
 def p2_rolling(spark: SparkSession, sf: str) -> DataFrame:
     r = rolling_totals(table(spark, sf, "features"), "security_id", "date", "log_ret")
-    return r.select("security_id", _day("day").alias("day"), *[F.round(c, 6).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
+    return r.select("security_id", _day("day").alias("day"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,6 +38,21 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return r.where("rows_7 = 0 and rows_30 > 0").select("security_id", _day("day").alias("day"))
 
 
+NUMBERS = (Number("vol_20", 0.0, 1.0, log=True), Number("log_dollar_volume", 0.0, 50.0))
+WORDS = (Word("sector", "group"), Word("regime", "time"))
+
+
+def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
+    return impute(table(spark, sf, "features"), "row_id", "security_id", "date", NUMBERS, WORDS)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    r = impute(table(spark, sf, "features"), "row_id", "security_id", "date", NUMBERS, WORDS, only_filled=True)
+    fields = [x.name for x in (*NUMBERS, *WORDS)]
+    cells = F.explode(F.array_compact(F.array(*[F.when(F.col(f"{c}_filled"), F.lit(c)) for c in fields])))
+    return r.select("row_id", cells.alias("field"))
+
+
 def _grids(spark: SparkSession, sf: str) -> DataFrame:
     f = regrid(table(spark, sf, "features"), "security_id", "date", ["log_ret", "vol_20", "log_dollar_volume"], at="snap_ts", tie="row_id")
     m = regrid(table(spark, sf, "market").withColumn("market", F.lit("market")), "market", "date", ["ts__equal_weight_return", "ts__dispersion", "static__breadth"])
@@ -59,8 +84,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_flags": p1_flags,
     "p2_found": p2_found,
     "p2_rolling": p2_rolling,
+    "p3_found": p3_found,
+    "p3_filled": p3_filled,
     "p4_found": p4_found,
     "p4_regrid": p4_regrid,
     "p5_found": p5_found,
@@ -68,6 +97,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p3_found": """
+WITH f AS (SELECT row_id, security_id AS g, date AS t, CASE WHEN vol_20 > 0 AND vol_20 < 1 THEN 1 END AS a, CASE WHEN log_dollar_volume > 0 AND log_dollar_volume < 50 THEN 1 END AS b,
+  CASE WHEN lower(trim(sector)) NOT IN ('', 'n/a', 'na', '#n/a', 'none', 'null', 'nil', 'nan', 'unknown', '?', '-', '--', '.') THEN 1 END AS c,
+  CASE WHEN lower(trim(regime)) NOT IN ('', 'n/a', 'na', '#n/a', 'none', 'null', 'nil', 'nan', 'unknown', '?', '-', '--', '.') THEN 1 END AS d FROM features),
+s AS (SELECT g, min(t) FILTER (a = 1) AS a0, max(t) FILTER (a = 1) AS a1, min(t) FILTER (b = 1) AS b0, max(t) FILTER (b = 1) AS b1, count(c) AS c0 FROM f GROUP BY g),
+r AS (SELECT t, count(d) AS d0 FROM f GROUP BY t)
+SELECT row_id, 'vol_20' AS field FROM f JOIN s USING (g) WHERE a IS NULL AND a0 < t AND t < a1
+UNION ALL SELECT row_id, 'log_dollar_volume' FROM f JOIN s USING (g) WHERE b IS NULL AND b0 < t AND t < b1
+UNION ALL SELECT row_id, 'sector' FROM f JOIN s USING (g) WHERE c IS NULL AND c0 > 0
+UNION ALL SELECT row_id, 'regime' FROM f JOIN r USING (t) WHERE d IS NULL AND d0 > 0""",
+    "p2_rolling": """
+WITH r AS (SELECT security_id, date AS d, CASE WHEN isfinite(log_ret) THEN log_ret::DOUBLE END AS v FROM features WHERE security_id IS NOT NULL AND date IS NOT NULL),
+b AS (SELECT security_id, min(d) AS lo, max(d) AS hi FROM r GROUP BY 1),
+g AS (SELECT security_id, unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM b)
+SELECT g.security_id, strftime(g.d, '%Y-%m-%d') AS day, count(*) FILTER (r.d > g.d - 7) AS rows_7, round(coalesce(sum(v) FILTER (r.d > g.d - 7), 0), 6) + 0.0 AS total_7, round(avg(v) FILTER (r.d > g.d - 7), 6) + 0.0 AS mean_7,
+  count(r.d) AS rows_30, round(coalesce(sum(v), 0), 6) + 0.0 AS total_30, round(avg(v), 6) + 0.0 AS mean_30
+FROM g LEFT JOIN r ON r.security_id = g.security_id AND r.d <= g.d AND r.d > g.d - 30 GROUP BY 1, g.d""",
     "p2_found": """
 WITH r AS (SELECT security_id, date AS d FROM features WHERE security_id IS NOT NULL AND date IS NOT NULL),
 b AS (SELECT security_id, min(d) AS lo, max(d) AS hi FROM r GROUP BY 1),
