@@ -90,7 +90,7 @@ def step(yesterday: DataFrame, daily: DataFrame, day: int, periods: Sequence[int
             *[daily.where(F.col("d") == day - w).select("k", *[F.col(c).alias(f"x_{c}_{w}") for c in ("n", "c", "s")]) for w in periods],
         ],
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    zero = lambda c: F.coalesce(F.col(c).cast("decimal(36,12)") if "s" in c.split("_")[:2] else F.col(c), F.lit(0))  # noqa: E731  # two digits to spare, or the sums would round
     came = {"n": "n_d", "c": "c", "s": "s"}
     totals = [(zero(f"{c}_{w}") + zero(came[c]) - zero(f"x_{c}_{w}")).cast("decimal(38,12)" if c == "s" else "long").alias(f"{c}_{w}") for w in periods for c in ("n", "c", "s")]
     return today.select("k", F.lit(day).alias("d"), zero("n_d").cast("long").alias("n_d"), *totals).where(F.col(f"n_{max(periods)}") > 0)

@@ -66,7 +66,7 @@ def factor_csv(spark: SparkSession, path: str) -> DataFrame:
     """Daily factor returns (date as yyyyMMdd, then factors in percent): as fractions."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     first, *rest = raw.columns
-    return raw.select(F.to_date(F.trim(F.col(first).cast("string")), "yyyyMMdd").alias("date"), *[(F.col(f"`{c}`").cast("double") / 100).alias(c.strip()) for c in rest]).where("date is not null")
+    return raw.select(F.try_to_timestamp(F.trim(F.col(f"`{first}`").cast("string")), F.lit("yyyyMMdd")).cast("date").alias("date"), *[(F.col(f"`{c}`").try_cast("double") / 100).alias(c.strip()) for c in rest]).where("date is not null")
 
 
 def calendar(panel: DataFrame) -> DataFrame:
