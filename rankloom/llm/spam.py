@@ -29,6 +29,7 @@ from rankloom.llm import text as tx
 
 # fixed values: frequent function words of the corpus' languages
 FUNCTION_WORDS = (
+    "c d j l m n qu s t "  # what an apostrophe cuts off
     "a about after again against all also an and any are as at be because been before being below between both but by can cannot could did do does doing down during each either else every few for from further had has have having he her here hers him his how "
     "i if in into is it its itself just let like many may me might more most much must my neither no nor not now of off on once only onto or other our out over own per please quite rather same shall she should since so some such than that the their them then there these they this those though through to too under until up upon us very was we were what when where whether which while who whom whose why will with within without would yet you your "
     "aber alle allem allen aller alles als also am an andere auch auf aus bei beim bin bis bist da damit dann das dass dem den der des dessen die dies diese diesem diesen dieser dieses doch dort du durch ein eine einem einen einer eines er es etwas euch für gegen gerade habe haben hat hatte hier hinter ich ihm ihn ihr ihre im in indem ins ist ja jede jedem jeden jeder jetzt kann kein keine können mehr mein mit muss nach nicht nichts nie noch nun nur ob oder ohne schon sehr sein seine sich sie sind so soll sondern über um und uns unser unter vom von vor warum was weder weil weiter welche wenn wer werden wie wieder wir wird wo wurde wurden zu zum zur zwischen "
@@ -39,12 +40,14 @@ FUNCTION_WORDS = (
 UNIT = 32
 LONGEST = 64  # runs without a function word are counted up to here
 ODDS = 1.3  # standard deviations beyond which a unit's log perplexity is abnormal
+SHORT = 60  # content words up to which a page repeats a word by saying it twice
 RARE = 6.0  # surprise from which a run without a function word is abnormal
 OTHER, LOWER, TITLE, UPPER, IDENT, NUMBER, LINK, MARKUP, BREAK, TAG = range(10)
 SIGNS = ".,;:?!()[]{}<>=/|-#*\"'`+&%$@~_\\"  # each a class
 FIRST_SIGN = 10
 FIRST_WORD = FIRST_SIGN + len(SIGNS)
 _LINKS = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\s<>\"'()\[\]]+|\bwww\.[^\s<>\"'()\[\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|test|example|invalid|info|io|de|fr|es)/[^\s<>\"'()\[\]]*")
+_ANCHOR = re.compile(r"<a\b|<[^>]*\bhref\b", re.I)  # other tags are layout, not text
 _TAGS = re.compile(r"</?[A-Za-z][^<>]*>")
 
 _KIND = np.zeros(256, np.uint8)  # 0 blank, 1 letter, 2 digit, 3 underscore, 4 sign, 5 line break, 6 link, 7 markup
@@ -97,7 +100,7 @@ def tokens(texts: list[str]) -> Tokens:
         if "/" in t or "www." in t:
             t = _LINKS.sub(lambda m: "\x01" * len(m[0]), t)
         if "<" in t:
-            t = _TAGS.sub(lambda m: "\x02" * len(m[0]), t)
+            t = _TAGS.sub(lambda m: "\x02" * len(m[0]) if _ANCHOR.match(m[0]) else " ", t)
         prepared.append(t.encode("utf-8", "replace"))
     bounds = np.cumsum([0, *[len(p) + 1 for p in prepared]])
     data = np.frombuffer(b"\x00".join(prepared) + b"\x00", np.uint8)
@@ -240,7 +243,7 @@ class Units:
     words: np.ndarray
     function: np.ndarray
     odd: np.ndarray
-    links: np.ndarray  # characters of links, markup and #tags
+    links: np.ndarray  # characters of links, anchors and #tags
     keyword: np.ndarray  # words the page repeats
 
 
@@ -253,7 +256,7 @@ def measure(t: Tokens, model: Model) -> Units:
     _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
     own = np.bincount(t.text[at], minlength=t.texts)[t.text[at]]
     often = np.zeros(len(k), bool)
-    often[at] = (n[inverse] >= 3) & (n[inverse] >= 0.02 * own)
+    often[at] = (n[inverse] >= np.where(own <= SHORT, 2, 3)) & (n[inverse] >= 0.02 * own)
     # a function word inside a repeated phrase ("x of y" said over and over) makes no sentence
     word = content | (k >= FIRST_WORD)
     w = np.flatnonzero(word)
