@@ -15,7 +15,7 @@ mixture says of the row.  Masks mark every filled cell.
 
 Group and time statistics are sums, built with partial aggregation; a group with a third of
 all rows is one row afterwards.  They are broadcast to the rows if their size, which is
-counted first, is below BROADCAST_ROWS; else the rows are joined by key, where adaptive
+counted first, is below BROADCAST_BYTES; else the rows are joined by key, where adaptive
 execution splits a hot key.
 """
 
@@ -33,7 +33,7 @@ from rankloom.session import finite, written
 
 # fixed values: notations of a missing word, after trimming and lower-casing
 MISSING_WORDS = ("", "n/a", "na", "#n/a", "none", "null", "nil", "nan", "unknown", "unk", "undefined", "missing", "not available", "tbd", "?", "??", "-", "--", "---", ".", "..", "...", "_", "*", "x", "0", "999", "-999")
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 48 << 20
 
 
 @dataclass(frozen=True)
@@ -198,7 +198,11 @@ def fit_mixture(rows: DataFrame, p: int, levels: Sequence[int], components: int
 def _sized(stats: DataFrame) -> tuple[DataFrame, bool]:
     """The statistics as a written table, and whether they are small enough to broadcast."""
     kept = written(stats, "impute-stats")
-    return kept, kept.count() <= BROADCAST_ROWS
+    size = F.lit(8 * len(kept.columns) + 32)
+    for c, t in kept.dtypes:
+        if t.startswith("array"):
+            size = size + F.aggregate(c, F.lit(0), lambda a, x: a + F.coalesce(F.octet_length(x["word"]), F.lit(0)) + F.coalesce(F.octet_length(x["say"]), F.lit(0)) + 48)
+    return kept, (kept.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Number], words: Sequence[Word], components: int = 3, max_levels: int = 500, only_filled: bool = False) -> DataFrame:

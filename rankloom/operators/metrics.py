@@ -75,6 +75,27 @@ def bucket_profile(df: DataFrame, n: int = 10, min_stocks: int = 20, by: Sequenc
     return with_buckets(df, n, min_stocks, by).groupBy(*by, "date", "bucket").agg(F.avg("label").alias("m")).groupBy(*by, "bucket").agg(F.avg("m").alias("label"))
 
 
+def quantile_buckets(df: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
+    """Adds bucket 1..n cut at the day's linearly interpolated score quantiles, upper ends included; equal cuts leave buckets empty."""
+    key = [*by, "date"]
+    cuts = _usable(df).groupBy(*key).agg(F.percentile("score", F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_cuts"))
+    rows = _usable(df).join(F.broadcast(cuts), key)
+    return rows.withColumn("bucket", F.size(F.filter("_cuts", lambda c: F.col("score") > c)) + 1).drop("_cuts")
+
+
+def rolling_mean(days: DataFrame, value: str, window: int = 20) -> DataFrame:
+    """(date, mean, running): mean of the last ``window`` days once there are as many, and the running sum; one row a day."""
+    w = W.orderBy("date")
+    last = w.rowsBetween(-(window - 1), 0)
+    return days.select("date", F.when(F.count(value).over(last) == window, F.avg(value).over(last)).alias("mean"), F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("running"))
+
+
+def bucket_columns(df: DataFrame, n: int, min_stocks: int = 20) -> DataFrame:
+    """(date, b1 .. bn): the buckets' mean labels side by side."""
+    b = with_buckets(df, n, min_stocks)
+    return b.groupBy("date").agg(*[F.avg(F.when(F.col("bucket") == i, F.col("label"))).alias(f"b{i}") for i in range(1, n + 1)])
+
+
 @register("metric", "decile_monotonicity")
 def decile_monotonicity(df: DataFrame, n: int = 10, min_stocks: int = 20, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:
     """Spearman correlation of the bucket's number with its mean label."""

@@ -62,7 +62,7 @@ def _grids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_regrid(spark: SparkSession, sf: str) -> DataFrame:
-    return _grids(spark, sf).select("source", _day("day").alias("day"), "had_reading", "state", *[F.round(f"v{i}", 6).alias(f"v{i}") for i in range(3)])
+    return _grids(spark, sf).select("source", _day("day").alias("day"), "had_reading", "state", *[(F.round(f"v{i}", 6) + F.lit(0.0)).alias(f"v{i}") for i in range(3)])
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,3 +139,21 @@ f AS (SELECT l.label_id, arg_max(v.row_id, (v.date, v.snap_ts, v.known_at, v.row
   AND v.date < l.date AND v.known_at < l.date::TIMESTAMP GROUP BY 1)
 SELECT label_id, universe_id, row_id FROM u JOIN f USING (label_id)""",
 }
+
+
+def _regrid_sql() -> str:
+    """Neighbours by ASOF joins, value by value."""
+    fields = (("log_ret", "ts__equal_weight_return"), ("vol_20", "ts__dispersion"), ("log_dollar_volume", "static__breadth"))
+    one = lambda c: f"CASE WHEN isfinite({c}) THEN {c}::DOUBLE END"
+    rows = f"""r AS (SELECT security_id::VARCHAR AS source, date AS d, epoch_us(snap_ts) / 86400e6 AS t, row_id AS o, {', '.join(f'{one(a)} AS v{i}' for i, (a, _) in enumerate(fields))} FROM features WHERE security_id IS NOT NULL AND date IS NOT NULL
+UNION ALL SELECT 'market', date, (date - DATE '1970-01-01') + 16 / 24.0, 0, {', '.join(one(b) for _, b in fields)} FROM market WHERE date IS NOT NULL)"""
+    cells = ", ".join(f"c{i} AS (SELECT source, d, arg_max(v{i}, (t, o, v{i})) AS lv, max(t) AS lt, arg_min(v{i}, (t, o, v{i})) AS ev, min(t) AS et FROM r WHERE v{i} IS NOT NULL GROUP BY 1, 2)" for i in range(3))
+    grid = """b AS (SELECT source, min(d) AS lo, max(d) AS hi FROM r GROUP BY 1), days AS (SELECT DISTINCT source, d FROM r),
+g AS (SELECT * FROM (SELECT source, unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM b) WHERE isodow(d) <= 5)"""
+    joins = " ".join(f"ASOF LEFT JOIN c{i} p{i} ON p{i}.source = g.source AND g.d >= p{i}.d ASOF LEFT JOIN c{i} n{i} ON n{i}.source = g.source AND g.d < n{i}.d" for i in range(3))
+    value = lambda i: f"CASE WHEN p{i}.d = g.d THEN p{i}.lv WHEN n{i}.et - p{i}.lt <= 7 AND n{i}.et > p{i}.lt THEN p{i}.lv + (n{i}.ev - p{i}.lv) * greatest(0, least(1, ((g.d - DATE '1970-01-01') + 16 / 24.0 - p{i}.lt) / (n{i}.et - p{i}.lt))) END"
+    x = f"x AS (SELECT g.source, g.d, days.d IS NOT NULL AS had_reading, {', '.join(f'{value(i)} AS v{i}' for i in range(3))} FROM g LEFT JOIN days ON days.source = g.source AND days.d = g.d {joins})"
+    return f"WITH {rows}, {cells}, {grid}, {x} SELECT source, strftime(d, '%Y-%m-%d') AS day, had_reading, CASE WHEN had_reading THEN 'observed' WHEN v0 IS NOT NULL AND v1 IS NOT NULL AND v2 IS NOT NULL THEN 'filled' ELSE 'marked' END AS state, {', '.join(f'round(v{i}, 6) + 0.0 AS v{i}' for i in range(3))} FROM x"
+
+
+SQL["p4_regrid"] = _regrid_sql()

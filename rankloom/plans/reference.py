@@ -423,6 +423,66 @@ def rolling_ols_two_factors(spark, sf):
     return _round(rs.rolling_ols_residual(_with_market(spark, sf).join(F.broadcast(f), "date"), "log_ret", ["mkt", "factor"], 26, 5))
 
 
+@query
+def quantile_deciles(spark, sf):
+    return _round(mt.quantile_buckets(predictions(spark, sf), BUCKETS).select("date", "security_id", "bucket"))
+
+
+@query
+def ic_rolling(spark, sf):
+    return _round(mt.rolling_mean(mt.daily_ic(predictions(spark, sf), MIN_STOCKS), "ic"))
+
+
+@query
+def bucket_columns(spark, sf):
+    return _round(mt.bucket_columns(predictions(spark, sf), BUCKETS, MIN_STOCKS))
+
+
+@query
+def kendall_monotonicity(spark, sf):
+    p = mt.bucket_profile(predictions(spark, sf), BUCKETS, MIN_STOCKS)
+    one = p.select(F.lit("1970-01-01").cast("date").alias("date"), F.col("bucket").alias("score"), "label")
+    return _round(rs.daily_tau(one, 2).select(F.col("tau").alias("value")))
+
+
+@query
+def turnover_annual(spark, sf):
+    return _round(bt.annual(bt.turnover(predictions(spark, sf), HOLD, FREQ), "turnover", FREQ))
+
+
+@query
+def decision_days(spark, sf):
+    """Days that a period covers and that have a whole window before them."""
+    s = slots_by_day(_universe(spark, sf), calendar(panel(spark, sf)))
+    return _round(s.where(F.col("day_idx") >= LOOKBACK).select("date", "day_idx").distinct())
+
+
+@query
+def labelled_days(spark, sf):
+    """Decision days with enough labelled slots."""
+    p = panel(spark, sf)
+    s = slots_by_day(_universe(spark, sf), calendar(p)).where("not is_pad").join(forward_return(p, START, END), ["date", "security_id"])
+    return _round(s.groupBy("date").agg(F.count("label").alias("n")).where("n >= 20"))
+
+
+@query
+def scored_returns(spark, sf):
+    """Returns of the scored names alone, from the first scored day on."""
+    p = predictions(spark, sf).where("score > 0.5")
+    first = p.agg(F.min("date").alias("first"))
+    r = _returns(spark, sf).join(p.select("security_id").distinct(), "security_id", "left_semi").join(F.broadcast(first))
+    return _round(r.where("date >= first").select("date", "security_id", "log_ret"))
+
+
+@query
+def regime_attribution(spark, sf):
+    """What each input of a linear score contributes in quiet and in volatile days."""
+    from rankloom.operators.models import attribution
+
+    z = rs.day_zscores(_legacy(spark, sf), ["log_ret", "vol", "dsma_short"])
+    return _round(attribution(z, ["log_ret", "vol", "dsma_short"], [0.5, -0.2, -0.3], rs.volatility_regimes(_legacy(spark, sf), "vol", 12)))
+
+
 @query
 def series_alignment(spark, sf):
     """Per-date metric series side by side: a full outer join on the date."""

@@ -253,5 +253,24 @@ held AS (SELECT p, security_id, CASE WHEN lo > n - {q.HOLD} THEN 1.0 ELSE -1.0 E
         f"SELECT date, security_id, {r('v', 'residual')} FROM (SELECT date, security_id, product(1 + x) OVER h - 1 - (regr_intercept(x, f) OVER b + regr_slope(x, f) OVER b * (product(1 + f) OVER h - 1)) AS v, count(*) OVER b AS nb, count(*) OVER h AS nh FROM rf WINDOW b AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING), h AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) WHERE nb = 26 AND nh = 5",
         ", rf AS (SELECT date, security_id, lr AS x, f FROM px JOIN (SELECT date, avg(lr) AS f FROM px GROUP BY date) USING (date) WHERE lr IS NOT NULL)",
     ),
+    "quantile_deciles": w("SELECT date, security_id, 1 + " + " + ".join(f"(score > c{i})::BIGINT" for i in range(1, q.BUCKETS)) + " AS bucket FROM use JOIN (SELECT date, " + ", ".join(f"quantile_cont(score, {i / q.BUCKETS}::DOUBLE) AS c{i}" for i in range(1, q.BUCKETS)) + " FROM use GROUP BY date) USING (date)", PRED),
+    "ic_rolling": w(f"SELECT date, {r('CASE WHEN count(*) OVER w = 20 THEN avg(ic) OVER w END', 'mean')}, {r('sum(ic) OVER (ORDER BY date)', 'running')} FROM {ic()} WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", PRED),
+    "bucket_columns": w("SELECT date, " + ", ".join(r(f"avg(label) FILTER (bucket = {i})", f"b{i}") for i in range(1, q.BUCKETS + 1)) + f" FROM {bucketed()} GROUP BY date", PRED),
+    "kendall_monotonicity": w(
+        f"SELECT {r('sum(sign(a.bucket - b.bucket) * sign(a.l - b.l)) / sqrt(sum(abs(sign(a.bucket - b.bucket))) * sum(abs(sign(a.l - b.l))))', 'value')} FROM bp a JOIN bp b ON a.bucket < b.bucket", PRED + f", bp AS (SELECT bucket, avg(m) AS l FROM (SELECT date, bucket, avg(label) AS m FROM {bucketed()} GROUP BY date, bucket) GROUP BY bucket)"
+    ),
+    "decision_days": w(f"SELECT DISTINCT date, day_idx FROM slots WHERE day_idx >= {L}", universe() + SLOTS, True),
+    "labelled_days": w("SELECT date, count(label) AS n FROM slots JOIN lab USING (date, security_id) WHERE NOT is_pad GROUP BY date HAVING count(label) >= 20", universe() + SLOTS + label(5, 0), True),
+    "scored_returns": w(f"SELECT date, security_id, {r('lr', 'log_ret')} FROM px SEMI JOIN (SELECT security_id FROM pred WHERE score > 0.5) USING (security_id) WHERE date >= (SELECT min(date) FROM pred WHERE score > 0.5)", PRED),
+    "regime_attribution": w(
+        "SELECT regime, feature, round(avg(a), 6) + 0.0 AS attribution FROM (" + " UNION ALL ".join(f"SELECT regime, '{c}' AS feature, abs({k} * ({c} - avg({c}) OVER ())) AS a FROM zr" for c, k in (("log_ret", 0.5), ("vol", -0.2), ("dsma_short", -0.3))) + ") GROUP BY regime, feature",
+        LEGACY
+        + ", md AS (SELECT date, CASE WHEN count(m) OVER w = 12 THEN median(m) OVER w END AS v FROM (SELECT date, median(vol) AS m FROM lg WHERE vol IS NOT NULL GROUP BY date) WINDOW w AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)), lz AS (SELECT date, security_id, "
+        + ", ".join(f"greatest(-3, least(3, {c})) AS {c}" for c in LG[:3])
+        + " FROM (SELECT date, security_id, "
+        + ", ".join(f"({c} - avg({c}) OVER d) / (stddev_samp({c}) OVER d + 1e-8) AS {c}" for c in LG[:3])
+        + " FROM lg WINDOW d AS (PARTITION BY date)) WHERE log_ret IS NOT NULL AND vol IS NOT NULL AND dsma_short IS NOT NULL), zr AS (SELECT lz.*, CASE WHEN coalesce(v > (SELECT median(v) FROM lg JOIN md USING (date)), false) THEN 'High_Vol' ELSE 'Low_Vol' END AS regime FROM lz JOIN md USING (date))",
+    ),
     "series_alignment": w(f"SELECT date, {r('ic', 'ic')}, {r('spread', 'spread')} FROM {ic()} FULL JOIN {spread()} USING (date)", PRED),
 }
+SQL["turnover_annual"] = "SELECT round(avg(turnover) * 50.4, 6) + 0.0 AS value FROM (" + SQL["bt_turnover"].replace("round(sum(abs(d)) / 2, 6) + 0.0", "sum(abs(d)) / 2") + ")"

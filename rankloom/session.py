@@ -7,6 +7,7 @@ poison averages.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -49,6 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
+def clear_written() -> None:
+    """Remove the tables that ``written`` made in this process; results that still read them must have been stored."""
+    spark = SparkSession.getActiveSession()
+    while _scratch and spark is not None:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session is gone; the folder's owner clears it
+            return
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage by writing a table to the shared folder and reading it back.
 
@@ -56,6 +71,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    if not _scratch:
+        atexit.register(clear_written)
+    _scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

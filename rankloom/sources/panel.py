@@ -69,6 +69,11 @@ def factor_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.try_to_timestamp(F.trim(F.col(f"`{first}`").cast("string")), F.lit("yyyyMMdd")).cast("date").alias("date"), *[(F.col(f"`{c}`").try_cast("double") / 100).alias(c.strip()) for c in rest]).where("date is not null")
 
 
+def write_ticker_csv(bars: DataFrame, path: str, by: str = "ticker") -> None:
+    """One folder of CSV files per ticker; rows of a ticker meet in one task, a day apart."""
+    bars.repartition(by).sortWithinPartitions(by, "date").write.mode("overwrite").partitionBy(by).option("header", True).csv(path)
+
+
 def calendar(panel: DataFrame) -> DataFrame:
     """(date, day_idx): the distinct days of a panel, numbered from 0.
 

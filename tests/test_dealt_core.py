@@ -345,3 +345,16 @@ def test_as_known_edge_cases(spark):
     assert strict[day(1)] == 2 and strict[day(2)] == 4 and strict[day(9)] == 8
     assert asof.as_known(ev, attrs.where("false"), "sec", "on", "since", "known", "id").count() == 0
     assert asof.as_known(ev.where("false"), attrs, "sec", "on", "since", "known", "id").count() == 0
+
+
+def test_imputation_is_the_same_without_broadcasts(spark, monkeypatch):
+    from rankloom.operators import impute as module
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 1, 2, None]), day(rng.randrange(20)) if rng.random() > 0.05 else None, rng.choice([0.02, 0.03, None]), rng.choice([15.0, 16.0, -1.0]), rng.choice(["Tools", "glass", "?"]), rng.choice(["High", "Low", None]), "g", 1, "r") for i in range(200)]
+    run = lambda: sorted(map(str, impute(spark.createDataFrame(rows, CELLS), "row_id", "security_id", "date", *FIELDS).collect()))
+    whole = run()
+    monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    again = run()
+    assert len(whole) == 200
+    assert [x.replace("True", "").split("size")[0] for x in whole] != [] and [("filled=True" in x) for x in whole] == [("filled=True" in x) for x in again]
