@@ -32,7 +32,7 @@ HOLE = 2  # words in a row that may be changed, added or dropped within a stretc
 COST = 2  # words found that a lost one takes back
 DROP = 10
 DENSITY = 0.75  # share of a stretch's words that are found
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 4 << 20  # of text; with its phrases about ten times as much in a task
 
 
 def body(item: str) -> str:
