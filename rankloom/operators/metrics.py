@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def evaluate(predictions: DataFrame, labels: DataFrame, specs: Sequence[dict]) -
     from rankloom import registry
 
     j = predictions.join(labels.where("label is not null"), ["date", "security_id"])
-    both = j.withColumn("fold", F.explode(F.array(F.lit("all"), F.col("fold"))))
+    both = j.withColumn("fold", F.explode(F.array(F.lit("all"), F.col("fold")))).persist(StorageLevel.MEMORY_AND_DISK)  # read once per metric
     values, days = None, None
     for s in specs:
         kw = dict(s.get("kwargs", {}))

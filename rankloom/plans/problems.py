@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,9 @@ from rankloom.operators.asof import as_known
 from rankloom.operators.impute import Number, Word, impute
 from rankloom.operators.intervals import periods_and_gaps
 from rankloom.operators.regrid import regrid
-from rankloom.operators.rolling import rolling_totals
+from rankloom.operators.rolling import RollingStore, rolling_totals, series
 from rankloom.operators.spikes import implausible
-from rankloom.session import table
+from rankloom.session import shared_dir, table
 
 
 def _day(c: str):
@@ -33,6 +34,16 @@ def p2_rolling(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("security_id", _day("day").alias("day"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
 
 
+def p2_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same totals by way of the store: what arrived on time is the first version, late rows are a correction."""
+    rows = table(spark, sf, "features").select("security_id", "date", "log_ret", (F.to_date("known_at") > F.date_add("date", 1)).alias("late"))
+    store = RollingStore(spark, f"{shared_dir(spark)}/rolling-{uuid.uuid4().hex[:12]}")
+    store.correct(rows.where(~F.coalesce("late", F.lit(False))), "security_id", "date", "log_ret")
+    store.correct(rows.where("late"), "security_id", "date", "log_ret")
+    r = series(store.current(), "security_id")
+    return r.select("security_id", _day("day").alias("day"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     r = rolling_totals(table(spark, sf, "features"), "security_id", "date", "log_ret")
     return r.where("rows_7 = 0 and rows_30 > 0").select("security_id", _day("day").alias("day"))
@@ -88,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_flags": p1_flags,
     "p2_found": p2_found,
     "p2_rolling": p2_rolling,
+    "p2_versions": p2_versions,
     "p3_found": p3_found,
     "p3_filled": p3_filled,
     "p4_found": p4_found,
@@ -157,3 +169,4 @@ g AS (SELECT * FROM (SELECT source, unnest(generate_series(lo::TIMESTAMP, hi::TI
 
 
 SQL["p4_regrid"] = _regrid_sql()
+SQL["p2_versions"] = SQL["p2_rolling"]

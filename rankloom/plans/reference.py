@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+_panels: dict[tuple[str, str], DataFrame] = {}
+
+
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return lineitem_weekly(spark, f"{sf}/lineitem.parquet")
+    """The bars, kept between queries: they stay partitioned and ordered by security, so windows over them need no shuffle."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _panels:
+        _panels[key] = lineitem_weekly(spark, f"{sf}/lineitem.parquet").persist(StorageLevel.MEMORY_AND_DISK)
+    return _panels[key]
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -16,7 +16,7 @@ from rankloom.operators.models import attribution, sample_days, surrogate_fideli
 from rankloom.operators.splits import BurnInWalkForward, PurgedWalkForward, assign
 from rankloom.operators.universe import slots_by_day, topk_dollar_volume
 from rankloom.operators.windows import market_windows, tensors, windows
-from rankloom.sources.panel import calendar, factor_csv, indexed, ticker_csv
+from rankloom.sources.panel import calendar, factor_csv, indexed, ticker_csv, write_ticker_csv
 
 D = dt.date(2020, 1, 1)
 day = lambda n: D + dt.timedelta(days=n)
@@ -376,6 +376,8 @@ def test_csv_sources(spark, tmp_path):
     (tmp_path / "B.C.csv").write_text("date,open,high,low,close,volume\n2020-01-02,1,2,0.5,1.5,100\n")
     got = sorted((r["ticker"], r["date"], r["close"]) for r in ticker_csv(spark, str(tmp_path)).collect())
     assert got == [("AAA", dt.date(2020, 1, 2), 1.5), ("B-C", dt.date(2020, 1, 2), 1.5)]
+    write_ticker_csv(ticker_csv(spark, str(tmp_path)), str(tmp_path / "out" / "bars"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "bars")).count() == 2
     f = tmp_path / "f"
     f.mkdir()
     (f / "factors.csv").write_text("when,Mkt-RF,SMB\n20200102,1.5,-2\nCopyright,,\n")
