@@ -33,6 +33,7 @@ from rankloom.session import finite, written
 
 # fixed values: notations of a missing word, after trimming and lower-casing
 MISSING_WORDS = ("", "n/a", "na", "#n/a", "none", "null", "nil", "nan", "unknown", "unk", "undefined", "missing", "not available", "tbd", "?", "??", "-", "--", "---", ".", "..", "...", "_", "*", "x", "0", "999", "-999")
+BLANKS = "\t\n\r\x0b\x0c\u00a0\u200b\u2007\u202f\ufeff"
 BROADCAST_BYTES = 48 << 20
 
 
@@ -62,10 +63,21 @@ class Word:
     by: str = "group"
 
     def usable(self) -> Column:
-        v = F.lower(F.regexp_replace(F.regexp_replace(F.col(self.name), r"[\s ​﻿]+", " "), r"^ | $", ""))
+        v = F.lower(F.trim(F.translate(F.col(self.name), BLANKS, " " * len(BLANKS))))
         return F.when(~v.isin(*MISSING_WORDS), v)
 
 
+def patterns(z: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, observed fields, missing fields) for each set of missing fields among the rows."""
+    seen = np.isfinite(z)
+    key = seen @ (1 << np.arange(z.shape[1])) if z.shape[1] else np.zeros(len(z), int)
+    out = []
+    for q in np.unique(key):
+        on = np.array([(q >> j) & 1 for j in range(z.shape[1])], bool)
+        out.append((np.flatnonzero(key == q), np.flatnonzero(on), np.flatnonzero(~on)))
+    return out
+
+
 @dataclass
 class Mixture:
     weight: np.ndarray  # K
@@ -73,62 +85,54 @@ class Mixture:
     cov: np.ndarray  # K x p x p
     words: list[np.ndarray] = field(default_factory=list)  # per word field: K x levels
 
-    def log_joint(self, z: np.ndarray, codes: Sequence[np.ndarray]) -> np.ndarray:
+    def log_joint(self, z: np.ndarray, codes: Sequence[np.ndarray], groups: list | None = None) -> np.ndarray:
         """log p(class, observed cells) per row; NaN numbers and codes below 0 are not observed."""
-        n, k = len(z), len(self.weight)
-        out = np.tile(np.log(self.weight), (n, 1))
-        seen = np.isfinite(z)
-        pattern = seen @ (1 << np.arange(z.shape[1])) if z.shape[1] else np.zeros(n, int)
-        for q in np.unique(pattern):
-            o = np.flatnonzero([(q >> j) & 1 for j in range(z.shape[1])])
-            rows = np.flatnonzero(pattern == q)
+        out = np.tile(np.log(self.weight), (len(z), 1))
+        for rows, o, _ in groups if groups is not None else patterns(z):
             if not len(o):
                 continue
-            for c in range(k):
+            seen = z[np.ix_(rows, o)]
+            for c in range(len(self.weight)):
                 s = self.cov[c][np.ix_(o, o)]
-                e = z[np.ix_(rows, o)] - self.mean[c][o]
-                out[rows, c] -= 0.5 * (np.einsum("ij,jk,ik->i", e, np.linalg.inv(s), e) + np.linalg.slogdet(s)[1] + len(o) * np.log(2 * np.pi))
+                # rows become independent standard normal ones
+                e = np.linalg.solve(np.linalg.cholesky(s), (seen - self.mean[c][o]).T)
+                out[rows, c] -= 0.5 * ((e * e).sum(axis=0) + np.linalg.slogdet(s)[1] + len(o) * np.log(2 * np.pi))
         for w, code in zip(self.words, codes):
-            out += np.where((code >= 0)[:, None], np.log(w.T[np.maximum(code, 0)]), 0.0)
+            out += np.concatenate([np.log(w.T), np.zeros((1, len(self.weight)))])[code]  # code -1 is the row of zeros
         return out
 
-    def complete(self, z: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers with the missing ones at their expectation in class c, and the covariance left in them per pattern of the row."""
-        full, p = z.copy(), z.shape[1]
-        rest = np.zeros((len(z), p, p))
-        seen = np.isfinite(z)
-        pattern = seen @ (1 << np.arange(p))
-        for q in np.unique(pattern):
-            on = np.array([(q >> j) & 1 for j in range(p)], bool)
-            o, m = np.flatnonzero(on), np.flatnonzero(~on)
+    def complete(self, z: np.ndarray, c: int, groups: list | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Numbers with the missing ones at their expectation in class c; (rows, covariance left in them) for each set of missing fields."""
+        full, rest = z.copy(), []
+        for rows, o, m in groups if groups is not None else patterns(z):
             if not len(m):
                 continue
-            rows = np.flatnonzero(pattern == q)
             s = self.cov[c]
-            if len(o):
-                gain = s[np.ix_(m, o)] @ np.linalg.inv(s[np.ix_(o, o)])
-                full[np.ix_(rows, m)] = self.mean[c][m] + (z[np.ix_(rows, o)] - self.mean[c][o]) @ gain.T
-                left = s[np.ix_(m, m)] - gain @ s[np.ix_(o, m)]
-            else:
-                full[np.ix_(rows, m)] = self.mean[c][m]
-                left = s[np.ix_(m, m)]
-            rest[np.ix_(rows, m, m)] = left
+            gain = s[np.ix_(m, o)] @ np.linalg.inv(s[np.ix_(o, o)]) if len(o) else np.zeros((len(m), 0))
+            full[np.ix_(rows, m)] = self.mean[c][m] + (z[np.ix_(rows, o)] - self.mean[c][o]) @ gain.T
+            left = np.zeros_like(s)
+            left[np.ix_(m, m)] = s[np.ix_(m, m)] - gain @ s[np.ix_(o, m)]
+            rest.append((rows, left))
         return full, rest
 
     def statistics(self, z: np.ndarray, codes: Sequence[np.ndarray]) -> np.ndarray:
         """Sufficient statistics of these rows as one vector: log likelihood, rows, then per class weight, sums, products and word counts."""
-        lj = self.log_joint(z, codes)
+        groups = patterns(z)
+        lj = self.log_joint(z, codes, groups)
         top = lj.max(axis=1, keepdims=True)
         r = np.exp(lj - top)
         total = r.sum(axis=1, keepdims=True)
         r /= total
         parts = [[float((np.log(total) + top).sum()), float(len(z))]]
         for c in range(len(self.weight)):
-            full, rest = self.complete(z, c)
+            full, rest = self.complete(z, c, groups)
             w = r[:, c]
-            parts += [[w.sum()], w @ full, ((full * w[:, None]).T @ full + np.einsum("i,ijk->jk", w, rest)).ravel()]
+            second = (full * w[:, None]).T @ full
+            for rows, left in rest:
+                second = second + w[rows].sum() * left
+            parts += [[w.sum()], w @ full, second.ravel()]
             for words, code in zip(self.words, codes):
-                parts.append(np.bincount(code[code >= 0], w[code >= 0], minlength=words.shape[1]))
+                parts.append(np.bincount(code + 1, w, minlength=words.shape[1] + 1)[1:])
         return np.concatenate([np.asarray(x, float).ravel() for x in parts])
 
     def maximised(self, s: np.ndarray) -> Mixture:
@@ -275,7 +279,8 @@ def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Num
                 continue
             zs = _matrix(b, [f"z{j}" for j in nums])
             ws = [np.asarray(b[f"w{i}"].fill_null(-1).to_numpy(zero_copy_only=False)).astype(np.int64) for i in range(len(words))]
-            lj = model.log_joint(zs, ws)
+            groups = patterns(zs)
+            lj = model.log_joint(zs, ws, groups)
             r = np.exp(lj - lj.max(axis=1, keepdims=True))
             r /= r.sum(axis=1, keepdims=True)
             out = [b["row"]]
@@ -283,8 +288,10 @@ def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Num
             if len(logs):
                 m = _matrix(b, [f"m{j}" for j in nums])
                 for c in range(len(model.weight)):
-                    full, rest = model.complete(zs, c)
-                    left = np.einsum("ijj->ij", rest)
+                    full, rest = model.complete(zs, c, groups)
+                    left = np.zeros_like(full)
+                    for rows, cov in rest:
+                        left[rows] = np.diag(cov)
                     middle += r[:, [c]] * np.where(logs, np.exp(np.clip(full + m + left / 2, -700, 700)), full + m)
             for j in nums:
                 can_j = flag(b, f"can{j}")
