@@ -43,15 +43,23 @@ def query(fn: Query) -> Query:
     return fn
 
 
-_panels: dict[tuple[str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The bars, kept between queries: they stay partitioned and ordered by security, so windows over them need no shuffle."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _panels:
-        _panels[key] = lineitem_weekly(spark, f"{sf}/lineitem.parquet").persist(StorageLevel.MEMORY_AND_DISK)
-    return _panels[key]
+def kept(name: str, make: Query) -> Query:
+    """A table that many queries share (a pipeline would have stored it): made on first use, then held in memory or on disk."""
+
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, name)
+        if key not in _kept:
+            _kept[key] = make(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+        return _kept[key]
+
+    return get
+
+
+# the bars stay partitioned and ordered by security, so windows over them need no shuffle
+panel = kept("panel", lambda spark, sf: lineitem_weekly(spark, f"{sf}/lineitem.parquet"))
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -124,7 +132,7 @@ def market_table(spark, sf):
 
 
 def _universe(spark, sf, agg="sum"):
-    return topk_dollar_volume(panel(spark, sf), START, END, agg=agg, **TOPK)
+    return kept(f"universe {agg}", lambda spark, sf: topk_dollar_volume(panel(spark, sf), START, END, agg=agg, **TOPK))(spark, sf)
 
 
 @query
@@ -205,7 +213,7 @@ def window_market(spark, sf):
     return _round(market_windows(slots_by_day(_universe(spark, sf), cal), ft.build_market(p, INDICATORS[:2]), cal, LOOKBACK))
 
 
-def predictions(spark, sf):
+def _predictions(spark, sf):
     """(date, security_id, score, label): the score is the distance from the average on the day before, turned around."""
     p = panel(spark, sf)
     cal = calendar(p)
@@ -213,6 +221,9 @@ def predictions(spark, sf):
     return f.join(F.broadcast(cal), "day_idx").select("date", "security_id", "score").join(forward_return(p, START, END), ["date", "security_id"]).withColumn("label", F.round("label", 9))
 
 
+predictions = kept("predictions", _predictions)
+
+
 def _folds(spark, sf):
     p = predictions(spark, sf)
     test = sp.assign(p, sp.PurgedWalkForward(**SPLIT)).where("segment = 'test'").select("date", "fold")
