@@ -11,6 +11,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 def get_spark(app: str = "rankloom", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benches; on a cluster the caller's own session is used."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -30,6 +32,25 @@ def get_spark(app: str = "rankloom", cores: int | str = "*", shuffle_partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of the session's executors, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="rankloom-code-")) / "rankloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"rankloom/{f.relative_to(here)}")
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
