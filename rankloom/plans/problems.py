@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_rolling(spark: SparkSession, sf: str) -> DataFrame:
     r = rolling_totals(table(spark, sf, "features"), "security_id", "date", "log_ret")
-    return r.select("security_id", _day("day").alias("day"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
+    return r.select("security_id", _day("day").alias("day"), *[(F.round(c, 8) + F.lit(0.0)).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
 
 
 def p2_versions(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +41,7 @@ def p2_versions(spark: SparkSession, sf: str) -> DataFrame:
     store.correct(rows.where(~F.coalesce("late", F.lit(False))), "security_id", "date", "log_ret")
     store.correct(rows.where("late"), "security_id", "date", "log_ret")
     r = series(store.current(), "security_id")
-    return r.select("security_id", _day("day").alias("day"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
+    return r.select("security_id", _day("day").alias("day"), *[(F.round(c, 8) + F.lit(0.0)).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,8 +123,8 @@ UNION ALL SELECT row_id, 'regime' FROM f JOIN r USING (t) WHERE d IS NULL AND d0
 WITH r AS (SELECT security_id, date AS d, CASE WHEN isfinite(log_ret) THEN log_ret::DOUBLE END AS v FROM features WHERE security_id IS NOT NULL AND date IS NOT NULL),
 b AS (SELECT security_id, min(d) AS lo, max(d) AS hi FROM r GROUP BY 1),
 g AS (SELECT security_id, unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM b)
-SELECT g.security_id, strftime(g.d, '%Y-%m-%d') AS day, count(*) FILTER (r.d > g.d - 7) AS rows_7, round(coalesce(sum(v) FILTER (r.d > g.d - 7), 0), 6) + 0.0 AS total_7, round(avg(v) FILTER (r.d > g.d - 7), 6) + 0.0 AS mean_7,
-  count(r.d) AS rows_30, round(coalesce(sum(v), 0), 6) + 0.0 AS total_30, round(avg(v), 6) + 0.0 AS mean_30
+SELECT g.security_id, strftime(g.d, '%Y-%m-%d') AS day, count(*) FILTER (r.d > g.d - 7) AS rows_7, round(coalesce(sum(v) FILTER (r.d > g.d - 7), 0), 8) + 0.0 AS total_7, round(avg(v) FILTER (r.d > g.d - 7), 8) + 0.0 AS mean_7,
+  count(r.d) AS rows_30, round(coalesce(sum(v), 0), 8) + 0.0 AS total_30, round(avg(v), 8) + 0.0 AS mean_30
 FROM g LEFT JOIN r ON r.security_id = g.security_id AND r.d <= g.d AND r.d > g.d - 30 GROUP BY 1, g.d""",
     "p2_found": """
 WITH r AS (SELECT security_id, date AS d FROM features WHERE security_id IS NOT NULL AND date IS NOT NULL),
