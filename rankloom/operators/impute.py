@@ -265,7 +265,7 @@ def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Num
             some = some | c
         need = joined.where(some)
     need = need.select(
-        "row", *[f"raw{j}" for j in nums], *[c.alias(f"y{j}") for j, c in ((j, F.col(f"y{j}")) for j in nums)], *z, *[F.when(F.col(f"n{j}") > 0, F.col(f"s{j}") / F.col(f"n{j}")).alias(f"m{j}") for j in nums], *[c.alias(f"can{j}") for j, c in enumerate(can)],
+        "row", *[f"raw{j}" for j in nums], *[F.col(f"y{j}") for j in nums], *z, *[F.when(F.col(f"n{j}") > 0, F.col(f"s{j}") / F.col(f"n{j}")).alias(f"m{j}") for j in nums], *[c.alias(f"can{j}") for j, c in enumerate(can)],
         *[F.col(f"say{i}") for i in range(len(words))], *[F.col(f"c{i}").isNotNull().alias(f"has{i}") for i in range(len(words))], *[code(i).cast("int").alias(f"w{i}") for i in range(len(words))], *[c.alias(f"canw{i}") for i, c in enumerate(can_w)], *[F.col(f"words{i}") for i in range(len(words))],
     )
     kind = df.schema[row].dataType.simpleString()
@@ -284,7 +284,7 @@ def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Num
             r = np.exp(lj - lj.max(axis=1, keepdims=True))
             r /= r.sum(axis=1, keepdims=True)
             out = [b["row"]]
-            middle, spread = np.zeros_like(zs), np.zeros_like(zs)
+            middle = np.zeros_like(zs)
             if len(logs):
                 m = _matrix(b, [f"m{j}" for j in nums])
                 for c in range(len(model.weight)):
@@ -300,6 +300,7 @@ def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Num
                 out += [pa.array(value, mask=np.isnan(value)), pa.array(can_j & np.isfinite(value))]
             for i in range(len(words)):
                 say, has, can_i = b[f"say{i}"].to_pylist(), flag(b, f"has{i}"), flag(b, f"canw{i}")
+                # posterior of a word: its count in the group or on the day, times what the row's class makes of it
                 share = r @ model.words[i]
                 prior = model.weight @ model.words[i]
                 lists = b[f"words{i}"]

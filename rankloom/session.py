@@ -45,7 +45,13 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="rankloom-code-")) / "rankloom.zip"
+    shared = shared_dir(spark).removeprefix("file://")
+    try:  # in the shared folder where the driver has it mounted; else the driver serves its own copy
+        os.makedirs(shared, exist_ok=True) if shared.startswith("/") else None
+        folder = tempfile.mkdtemp(prefix="rankloom-code-", dir=shared if shared.startswith("/") else None)
+    except OSError:
+        folder = tempfile.mkdtemp(prefix="rankloom-code-")
+    target = Path(folder) / "rankloom.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f"rankloom/{f.relative_to(here)}")
