@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,28 +130,102 @@ def probability(stat: float | None) -> float | None:
     return None if stat is None else NormalDist().cdf(stat)
 
 
-def market_mode(returns: DataFrame, rounds: int = 30, value: str = "log_ret") -> DataFrame:
-    """(security_id, loading): first principal component of the date x security matrix, missing cells 0, columns centred.
-
-    Power iteration on the long table: each round is one sum by date and one by security, so the
-    matrix is never formed and neither dimension has to fit in a task.
+BLOCK = 16  # vectors carried through a pass over the cells
+CELLS = 2_000_000  # of the dense blocks that a task makes at a time
+
+
+def _dense(b: pa.RecordBatch, n_days: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, centred rows security x day) of a batch of ``cells``, a bounded number of cells at a time."""
+    size = b["c"].value_lengths().to_numpy()
+    flat = b["c"].flatten()
+    day, x = flat.field("day_idx").to_numpy(), flat.field("x").to_numpy()
+    ends = np.concatenate([[0], np.cumsum(size)])
+    step = max(1, CELLS // n_days)
+    for k in range(0, len(size), step):
+        part = slice(ends[k], ends[min(k + step, len(size))])
+        n = len(size[k : k + step])
+        row = np.repeat(np.arange(n), size[k : k + step])
+        m = np.bincount(row * n_days + day[part], weights=x[part], minlength=n * n_days).reshape(n, n_days)
+        yield k, m - m.mean(axis=1, keepdims=True)
+
+
+def _spread(cells: DataFrame, n_days: int, u: np.ndarray) -> np.ndarray:
+    """X X' u and, as last column, X 1, for the centred matrix X of days x securities; one pass, and one row a day to the driver."""
+    width = u.shape[1] + 1
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = np.zeros((n_days, width))
+        seen = False
+        for b in batches:
+            for _, m in _dense(b, n_days):
+                y += m.T @ np.column_stack([m @ u, np.ones(len(m))])
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_days), pa.int32()), *(pa.array(y[:, j]) for j in range(width))], names=["d", *(f"y{j}" for j in range(width))])
+
+    got = cells.mapInArrow(part, "d int, " + ", ".join(f"y{j} double" for j in range(width))).groupBy("d").agg(*[F.sum(f"y{j}").alias(f"y{j}") for j in range(width)]).toPandas()
+    return got.sort_values("d")[[f"y{j}" for j in range(width)]].to_numpy().reshape(n_days, width)
+
+
+def _orthonormal(new: np.ndarray, basis: np.ndarray, scale: float) -> np.ndarray:
+    """Orthonormal columns for what ``new`` has outside ``basis``; directions below rounding of ``scale`` are left out."""
+    for _ in range(2):
+        new = new - basis @ (basis.T @ new)
+    q, s, _ = np.linalg.svd(new, full_matrices=False)
+    q = q[:, s > 1e-12 * scale]
+    q = q - basis @ (basis.T @ q)
+    return np.linalg.qr(q)[0] if q.shape[1] else q
+
+
+def market_mode(returns: DataFrame, rounds: int | None = None, value: str = "log_ret", tol: float = 1e-8) -> DataFrame:
+    """(security_id, loading): first principal component of the date x security matrix, missing cells 0, columns centred, the loadings' sum not negative.
+
+    Block Lanczos iteration over the days, with full reorthogonalisation: each pass reads the cells once and sums one row
+    per day, so that small gaps between eigenvalues take few passes.  It ends when the residual bounds the angle to the true
+    component by ``tol`` (residual <= tol x gap to the second eigenvalue), or is at rounding error of the eigenvalue; that is
+    reached at the latest when the basis spans all days.  ``rounds`` bounds the passes; a RuntimeError tells when it is hit before.
+    If the two largest eigenvalues are equal, any component of theirs is returned.
+
+    A task holds BLOCK + 1 numbers per day and CELLS cells; the whole matrix is never formed.  The driver holds two
+    days x BLOCK matrices per pass.
     """
-    from rankloom.session import written
-
-    n_days = returns.select("date").distinct().count()
-    x = returns.where(F.col(value).isNotNull()).select("date", "security_id", F.col(value).alias("x"))
-    means = x.groupBy("security_id").agg((F.sum("x") / n_days).alias("m"))
-    x = written(x, "mode-cells")
-    v = written(means.select("security_id", "m", F.lit(1.0).alias("v")), "mode-vector")
-    for k in range(rounds):
-        shift = v.agg(F.sum(F.col("m") * F.col("v")).alias("c"))
-        scores = x.join(v, "security_id").groupBy("date").agg(F.sum(F.col("x") * F.col("v")).alias("s")).join(F.broadcast(shift)).select("date", (F.col("s") - F.col("c")).alias("s"))
-        # days without any cell still have the score -c
-        total = scores.agg(F.sum("s").alias("t"), F.count(F.lit(1)).alias("k")).join(F.broadcast(shift)).select((F.col("t") - (F.lit(n_days) - F.col("k")) * F.col("c")).alias("t"))
-        nxt = x.join(F.broadcast(scores), "date").groupBy("security_id").agg(F.sum(F.col("x") * F.col("s")).alias("a")).join(v.select("security_id", "m"), "security_id").join(F.broadcast(total)).select("security_id", "m", (F.col("a") - F.col("m") * F.col("t")).alias("v"))
-        size = nxt.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("z"))
-        v = written(nxt.join(F.broadcast(size)).select("security_id", "m", F.coalesce(F.try_divide(F.col("v"), F.col("z")), F.lit(0.0)).alias("v")), "mode-vector")
-    return v.select("security_id", F.col("v").alias("loading"))
+    from rankloom.session import finite, written
+
+    x = written(returns.select("date", "security_id", finite(value).alias("x")).where("date is not null and security_id is not null"), "mode-cells")
+    days = x.select("date").distinct().select("date", (F.row_number().over(W.orderBy("date")) - 1).alias("day_idx"))  # one row a day
+    n_days = days.count()
+    kept = x.where("x is not null").join(F.broadcast(days), "date")
+    cells = written(kept.groupBy("security_id").agg(F.collect_list(F.struct("day_idx", "x")).alias("c")), "mode-rows")
+    u, size, done, k = np.zeros(n_days), 0.0, n_days == 0, 0
+    basis, image = np.zeros((n_days, 0)), np.zeros((n_days, 0))
+    new = np.random.default_rng(0).normal(size=(n_days, min(BLOCK, n_days)))
+    new = np.linalg.qr(new)[0] if n_days else new
+    while not done:
+        if rounds is not None and k >= rounds:
+            raise RuntimeError(f"market_mode: not converged to {tol} after {rounds} rounds")
+        k += 1
+        got = _spread(cells, n_days, new)
+        ones = got[:, -1]
+        basis, image = np.column_stack([basis, new]), np.column_stack([image, got[:, :-1]])
+        h = basis.T @ image
+        value_of, y = np.linalg.eigh((h + h.T) / 2)
+        top = float(value_of[-1])
+        if top <= 0:
+            break
+        u = basis @ y[:, -1]
+        residual = float(np.linalg.norm(image @ y[:, -1] - top * u))
+        gap = top - max(float(value_of[-2]) if len(value_of) > 1 else 0.0, 0.0)
+        new = _orthonormal(got[:, :-1], basis, top)
+        done = residual <= max(tol * gap, 1e-13 * top) or not new.shape[1] or basis.shape[1] >= n_days
+        size = math.sqrt(top)
+    u = u / size * (-1 if u @ ones < 0 else 1) if size else u
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [m @ u for _, m in _dense(b, n_days)]
+            yield pa.RecordBatch.from_arrays([b["security_id"], pa.array(np.concatenate(v) if v else np.zeros(0))], names=["security_id", "loading"])
+
+    return cells.mapInArrow(load, f"security_id {cells.schema['security_id'].dataType.simpleString()}, loading double")
 
 
 def neutral_scores(df: DataFrame, loadings: DataFrame) -> DataFrame:

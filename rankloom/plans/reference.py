@@ -422,7 +422,7 @@ def neutral_scores(spark, sf):
 @query
 def neutral_deciles(spark, sf):
     """Bucket profile of scores without the market's first principal component."""
-    return _round(mt.bucket_profile(rs.neutral_scores(predictions(spark, sf), rs.market_mode(_returns(spark, sf), 12)), BUCKETS, MIN_STOCKS))
+    return _round(mt.bucket_profile(rs.neutral_scores(predictions(spark, sf), rs.market_mode(_returns(spark, sf))), BUCKETS, MIN_STOCKS))
 
 
 def _with_market(spark, sf):

@@ -315,6 +315,28 @@ def test_principal_component_matches_dense(spark):
     assert abs(got @ want) == pytest.approx(1.0, abs=1e-6)
 
 
+def test_principal_component_with_a_small_gap(spark):
+    rng = np.random.default_rng(3)
+    u, v = (np.linalg.qr(rng.normal(size=(n, 60)))[0] for n in (150, 80))
+    m = u @ np.diag(np.sqrt(np.linspace(1.0, 0.4, 60))) @ v.T
+    df = spark.createDataFrame([(day(i), j, float(m[i, j])) for i in range(150) for j in range(80)] + [(day(0), 80, None), (None, 3, 9.0)], "date date, security_id long, log_ret double")
+    _, s, w = np.linalg.svd(m - m.mean(axis=0))
+    assert 1 - (s[1] / s[0]) ** 2 < 0.03
+    got = {r["security_id"]: r["loading"] for r in research.market_mode(df).collect()}
+    assert sorted(got) == list(range(80)) and sum(got.values()) >= 0
+    g = np.array([got[j] for j in range(80)])
+    assert abs(g @ w[0]) == pytest.approx(1.0, abs=1e-12) and np.abs(g - np.sign(g @ w[0]) * w[0]).max() < 1e-7
+    with pytest.raises(RuntimeError, match="not converged"):
+        research.market_mode(df, 1)
+
+
+def test_principal_component_of_nothing(spark):
+    kind = "date date, security_id long, log_ret double"
+    assert research.market_mode(spark.createDataFrame([], kind)).count() == 0
+    still = spark.createDataFrame([(day(i), j, 0.0) for i in range(3) for j in range(2)], kind)
+    assert {tuple(r) for r in research.market_mode(still).collect()} == {(0, 0.0), (1, 0.0)}
+
+
 def test_rolling_regression_matches_lstsq():
     rng = np.random.default_rng(2)
     f, r = rng.normal(0, 0.01, (60, 2)), rng.normal(0, 0.02, 60)
