@@ -256,7 +256,7 @@ def measure(t: Tokens, model: Model) -> Units:
     _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
     own = np.bincount(t.text[at], minlength=t.texts)[t.text[at]]
     often = np.zeros(len(k), bool)
-    often[at] = (n[inverse] >= np.where(own <= SHORT, 2, 3)) & (n[inverse] >= 0.02 * own)
+    often[at] = n[inverse] >= np.where(own <= SHORT, 2, 3)  # no share of the page: many keywords have a small one each
     # a function word inside a repeated phrase ("x of y" said over and over) makes no sentence
     word = content | (k >= FIRST_WORD)
     w = np.flatnonzero(word)

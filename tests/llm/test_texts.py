@@ -222,6 +222,15 @@ def test_spam_pages_and_honest_ones(spark):
     assert got == list(range(n, n + len(STUFFED) + 1))
 
 
+def test_spam_of_many_keywords(spark):
+    words = [f"{a}{b}" for a in ("cheap", "best", "loan", "shoe", "watch", "phone", "hotel", "flight", "bag", "ring") for b in ("sale", "deal", "shop", "price", "store", "online", "offer", "buy", "free", "card", "kit", "box", "set", "pro", "max", "lite", "plus", "club", "zone", "land")]
+    mixed = np.random.default_rng(0).permutation(np.repeat(words, 20)).tolist()
+    stuffed = [" ".join(words * 20), ", ".join(mixed), "\n".join(" ".join(mixed[i : i + 10]) for i in range(0, len(mixed), 10))]
+    long = "\n".join(page(i, 40) for i in range(20)) + "\n" + "\n".join(HONEST * 5)
+    d = docs(spark, [page(i) for i in range(40)] + stuffed + [long])
+    assert sorted(r[0] for r in spam.spam_pages(d, "doc_id", "text").collect()) == [40, 41, 42]
+
+
 def test_spam_edge_cases(spark):
     d = docs(spark, [page(i) for i in range(20)] + ["", None, " \n\n ", "\x01\x02", "é" * 3, "cheap loans online " * 60_000])
     s = {r[0]: r["spam_share"] for r in spam.spam_scores(d, "doc_id", "text").collect()}
