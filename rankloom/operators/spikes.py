@@ -12,10 +12,10 @@ A return is a spike if it is that large and the clean readings around it did not
 move.  Stuck runs (equal values over consecutive traded readings) and values beyond the
 physical limits are found apart from these.
 
-Distribution: rows are first reduced to one per (source, day) on the map side, then the days
-of a source are cut into blocks of BLOCK_DAYS with HALO_DAYS of neighbours on both sides.  A
-block holds at most BLOCK_DAYS + 2 * HALO_DAYS rows whatever share of the data its source
-has.  Blocks are worked off in shards of about SHARD_ROWS rows with array operations.
+Distribution: rows are first reduced to the distinct readings of a (source, day) on the map side, then
+the days of a source are cut into blocks of BLOCK_DAYS with HALO_DAYS of neighbours on both sides.  A
+block holds the distinct readings of at most BLOCK_DAYS + 2 * HALO_DAYS days, whatever share of the data
+its source has; it is worked off once for the first readings, and once more per further one of its days.  Blocks are worked off in shards of about SHARD_ROWS rows with array operations.
 """
 
 from __future__ import annotations
@@ -184,11 +184,27 @@ def _work(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.Recor
     def answer(t: pa.Table) -> pa.RecordBatch:
         k = t["k"].combine_chunks().dictionary_encode()
         k = k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k
-        code, block = k.indices.to_numpy(), t["block"].to_numpy()
+        code, block, nth = k.indices.to_numpy(), t["block"].to_numpy(), t["nth"].to_numpy()
         seg = np.cumsum(np.r_[0, (code[1:] != code[:-1]) | (block[1:] != block[:-1])])
-        flags = detect(seg, *(t[c].to_numpy().astype(float) for c in ("value", "ret", "volume")), **options)
-        hit = np.flatnonzero(np.logical_or.reduce(list(flags.values())) & (t["d"].to_numpy() // BLOCK_DAYS == block))
-        return pa.RecordBatch.from_arrays([t["k"].combine_chunks().take(pa.array(hit)), t["d"].combine_chunks().take(pa.array(hit)), *[pa.array(flags[c][hit]) for c in REASONS]], names=["k", "d", *REASONS])
+        day = np.cumsum(nth == 0) - 1
+        x = [t[c].to_numpy().astype(float) for c in ("value", "ret", "volume")]
+        inner = t["d"].to_numpy() // BLOCK_DAYS == block
+        hits, said = [], {c: [] for c in REASONS}
+        for v in range(int(nth.max()) + 1):  # further readings of a day each stand in the series in place of the first
+            mine = nth == v
+            use = mine
+            if v:
+                has, again = np.zeros(seg[-1] + 1, bool), np.zeros(day[-1] + 1, bool)
+                has[seg[mine]], again[day[mine]] = True, True
+                use = has[seg] & (mine | ((nth == 0) & ~again[day]))
+            i = np.flatnonzero(use)
+            flags = detect(np.unique(seg[i], return_inverse=True)[1], *(c[i] for c in x), **options)
+            hit = np.flatnonzero(np.logical_or.reduce(list(flags.values())) & (inner & mine)[i])
+            hits.append(i[hit])
+            for c in REASONS:
+                said[c].append(flags[c][hit])
+        at = pa.array(np.concatenate(hits))
+        return pa.RecordBatch.from_arrays([*(t[c].combine_chunks().take(at) for c in ("k", "d", "value", "ret")), *[pa.array(np.concatenate(said[c])) for c in REASONS]], names=["k", "d", "value", "ret", *REASONS])
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -209,29 +225,38 @@ def _work(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.Recor
         yield answer(pa.Table.from_batches(held).combine_chunks())
 
 
+def _readings(df: DataFrame, source: str, day: str, value: str, ret: str, volume: str, pick: str, options: dict) -> DataFrame:
+    """(k, d, value, ret, REASONS...): the distinct readings of each source and day that are implausible, and why."""
+    rows = df.select(
+        F.col(source).alias("k"), F.unix_date(F.col(day).cast("date")).alias("d"), F.struct(F.col(pick).alias("o"), *[F.col(c).cast("double").alias(n) for c, n in ((value, "value"), (ret, "ret"), (volume, "volume"))]).alias("x")
+    ).where("k is not null and d is not null")
+    pair = F.struct("x.value", "x.ret")
+    days = rows.groupBy("k", "d").agg(F.min("x").alias("x"), F.collect_set(pair).alias("every"))
+    days = days.select("k", "d", F.col("x.volume").alias("volume"), F.posexplode(F.concat(F.array(pair), F.array_sort(F.array_except("every", F.array(pair))))).alias("nth", "y"))
+    days = days.select("k", "d", "nth", "y.value", "y.ret", "volume")
+    blocks = days.select("*", F.explode(F.sequence(F.floor((F.col("d") - HALO_DAYS) / BLOCK_DAYS), F.floor((F.col("d") + HALO_DAYS) / BLOCK_DAYS))).alias("block"))
+    blocks = blocks.repartition("k", "block").sortWithinPartitions("k", "block", "d", "nth")
+    kind = df.schema[source].dataType.simpleString()
+    return blocks.mapInArrow(lambda it: _work(it, options), f"k {kind}, d int, value double, ret double, " + ", ".join(f"{c} boolean" for c in REASONS))
+
+
 def implausible_days(df: DataFrame, source: str, day: str, value: str, ret: str, volume: str, pick: str, **options) -> DataFrame:
     """(source, day, REASONS...): the days of each source with an implausible reading, and why.
 
     value is the level (a price), ret its log return, volume marks traded days; ``pick``
-    orders rows of the same source and day, of which the first stands for the day.  Rows
+    orders rows of the same source and day.  The first stands for the day, with its volume; every
+    other distinct (value, ret) of the day is tested in its place.  Rows
     without source or day are left out; missing and NaN values are no case in themselves.
     A source with fewer than 8 usable returns and changes has no usual spread and so no
     spikes, but stuck and impossible readings are still found.  Other columns are ignored.
     """
-    rows = df.select(
-        F.col(source).alias("k"), F.unix_date(F.col(day).cast("date")).alias("d"), F.struct(F.col(pick).alias("o"), *[F.col(c).cast("double").alias(n) for c, n in ((value, "value"), (ret, "ret"), (volume, "volume"))]).alias("x")
-    ).where("k is not null and d is not null")
-    days = rows.groupBy("k", "d").agg(F.min("x").alias("x")).select("k", "d", *[F.col(f"x.{n}").alias(n) for n in ("value", "ret", "volume")])
-    blocks = days.select("*", F.explode(F.sequence(F.floor((F.col("d") - HALO_DAYS) / BLOCK_DAYS), F.floor((F.col("d") + HALO_DAYS) / BLOCK_DAYS))).alias("block"))
-    blocks = blocks.repartition("k", "block").sortWithinPartitions("k", "block", "d")
-    kind = df.schema[source].dataType.simpleString()
-    found = blocks.mapInArrow(lambda it: _work(it, options), f"k {kind}, d int, " + ", ".join(f"{c} boolean" for c in REASONS))
+    found = _readings(df, source, day, value, ret, volume, pick, options).groupBy("k", "d").agg(*[F.max(c).alias(c) for c in REASONS])
     return found.select(F.col("k").alias(source), F.date_from_unix_date("d").alias(day), *REASONS)
 
 
 def implausible(df: DataFrame, row: str, source: str, day: str, value: str, ret: str, volume: str, **options) -> DataFrame:
-    """(row, REASONS...): every row, repeated ones too, of the days of implausible_days; row is a unique id."""
-    days = implausible_days(df, source, day, value, ret, volume, row, **options)
-    own = df.select(F.col(row).alias("row"), F.col(source).alias("k"), F.col(day).cast("date").alias("d"))
-    found = days.select(F.col(source).alias("k"), F.col(day).alias("d"), *REASONS)
-    return own.join(found, ["k", "d"]).select(F.col("row").alias(row), *REASONS)
+    """(row, REASONS...): every row, repeated ones too, with an implausible reading in the sense of implausible_days; row is a unique id."""
+    found = _readings(df, source, day, value, ret, volume, row, options)
+    own = df.select(F.col(row).alias("row"), F.col(source).alias("k"), F.unix_date(F.col(day).cast("date")).alias("d"), F.col(value).cast("double").alias("value"), F.col(ret).cast("double").alias("ret")).alias("o")
+    same = (F.col("o.k") == F.col("f.k")) & (F.col("o.d") == F.col("f.d")) & F.col("o.value").eqNullSafe(F.col("f.value")) & F.col("o.ret").eqNullSafe(F.col("f.ret"))
+    return own.join(found.alias("f"), same).select(F.col("o.row").alias(row), *[F.col(f"f.{c}") for c in REASONS])

@@ -106,6 +106,19 @@ def test_bars_repeated_null_and_empty(spark):
     assert spikes.implausible(bars(spark, []), "bar_id", "ticker", "date", "close", "log_ret", "volume").count() == 0
 
 
+def test_every_reading_of_a_day_is_tested(spark):
+    x, r = series()
+    at = lambda n: dt.datetime.combine(day(n), dt.time())
+    bar = lambda i, n, close, ret=None: (i, "A", at(n), close, float(r[n]) if ret is None else ret, 5.0, 1, 2, "z")
+    rows = [bar(i, i, float(x[i]) * (1.4 if i == 70 else 1)) for i in range(1, 120)]
+    # later rows of a day: an impossible value, a spike, a return of no use, the same again, an honest one beside a spike
+    rows += [bar(1040, 40, -1.0), bar(1050, 50, float(x[50]) * 1.4), bar(1060, 60, float(x[60]), 50.0), bar(1061, 61, float(x[61])), bar(1070, 70, float(x[70])), bar(1071, 70, float(x[70]) * 1.4)]
+    got = sorted(x[0] for x in spikes.implausible(bars(spark, rows), "bar_id", "ticker", "date", "close", "log_ret", "volume").select("bar_id").collect())
+    assert got == [70, 1040, 1050, 1060, 1071]
+    days = spikes.implausible_days(bars(spark, rows), "ticker", "date", "close", "log_ret", "volume", "bar_id")
+    assert sorted(r["date"] for r in days.collect()) == [day(n) for n in (40, 50, 60, 70)]
+
+
 def test_blocks_give_the_same_flags_as_a_whole_series(spark, monkeypatch):
     x, r = series(1500, 3)
     x = x.copy()
