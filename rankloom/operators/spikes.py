@@ -4,7 +4,7 @@ Per source a robust autoregression of the returns gives the usual spread and the
 path of the level (log of the reading).  Jumps of the level then go through two tests, over
 and over until nothing more is found, each time on the series without what was found:
 
-* additive outlier: one to ``patch`` readings leave the path that the autoregression draws
+* additive outlier: one to ``patch`` readings (4; longer deviations that return count as two level shifts) leave the path that the autoregression draws
   from both sides of them by more than ``limit`` spreads, and the level returns;
 * level shift: the level after the jump stays with it; such a move is honest.
 
@@ -115,7 +115,8 @@ def detect(seg: np.ndarray, value: np.ndarray, ret: np.ndarray, volume: np.ndarr
     spike, spike_r = np.zeros(size, bool), np.zeros(size, bool)
     near = 0.95 * limit  # the limit is meant as "about"
     mid, sd = _spread(r, seg, n, limit)
-    for _ in range(6):
+    seen: set[bytes] = set()
+    while True:
         good = np.flatnonzero(np.isfinite(x) & ~spike)
         xs, sg = x[good], seg[good]
         d = np.r_[np.nan, np.where(sg[1:] == sg[:-1], np.diff(xs), np.nan)] if len(xs) else xs
@@ -167,7 +168,9 @@ def detect(seg: np.ndarray, value: np.ndarray, ret: np.ndarray, volume: np.ndarr
             kept = (np.abs(move) > 0.5 * np.abs(r)) & (np.sign(move) == np.sign(r)) & ~(spike & np.isfinite(x))
         now = large & ~kept
         mid, sd = _spread(np.where(now, np.nan, r), seg, n, limit)
-        ended = not found.any() and (now == spike_r).all()
+        # found values only become more; the returns' flags, once these stand, may come round to an earlier state
+        ended = not found.any() and ((now == spike_r).all() or now.tobytes() in seen)
+        seen = set() if found.any() else seen | {now.tobytes()}
         spike_r = now
         if ended:
             break
