@@ -21,6 +21,8 @@ execution splits a hot key.
 
 from __future__ import annotations
 
+import itertools
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -159,8 +161,11 @@ def _matrix(t: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
     return np.stack(cols, axis=1) if cols else np.zeros((t.num_rows, 0))
 
 
-def fit_mixture(rows: DataFrame, p: int, levels: Sequence[int], components: int = 3, rounds: int = 15, tolerance: float = 1e-5) -> Mixture:
-    """EM over rows (z0.., w0..): numbers as distances from their group, words as codes, NULL where missing."""
+def fit_mixture(rows: DataFrame, p: int, levels: Sequence[int], components: int = 3, rounds: int | None = None, tolerance: float = 1e-5) -> Mixture:
+    """EM over rows (z0.., w0..): numbers as distances from their group, words as codes, NULL where missing.
+
+    Rounds go on until the log likelihood rises by less than ``tolerance`` a row; a warning tells when ``rounds``, if given, ends them before.
+    """
     names, codes = [f"z{j}" for j in range(p)], [f"w{i}" for i in range(len(levels))]
     first = rows.agg(*[F.coalesce(f(n), F.lit(d)).alias(f"{a}{n}") for n in names for a, f, d in (("v", F.var_pop, 1.0), ("m", F.avg, 0.0))]).first() if p else {}
     var = np.array([max(first[f"v{n}"], 1e-6) for n in names])
@@ -173,7 +178,7 @@ def fit_mixture(rows: DataFrame, p: int, levels: Sequence[int], components: int
         words.append(tilt / tilt.sum(axis=1, keepdims=True))
     model = Mixture(np.full(components, 1 / components), mid + lean[:, None] * np.sqrt(var), np.array([np.diag(var * s) for s in spread]), words)
     last = -np.inf
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         here = model
 
         def gather(batches: Iterator[pa.RecordBatch], here: Mixture = here) -> Iterator[pa.RecordBatch]:
@@ -193,9 +198,11 @@ def fit_mixture(rows: DataFrame, p: int, levels: Sequence[int], components: int
         for at, x in got:
             s[at] = x
         model = model.maximised(s)
-        if s[0] - last < tolerance * max(s[1], 1.0):
+        if not s[0] - last >= tolerance * max(s[1], 1.0):
             break
         last = s[0]
+    else:
+        warnings.warn(f"EM not converged to {tolerance} a row after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return model
 
 

@@ -217,6 +217,18 @@ def test_em_raises_the_likelihood_and_uses_correlation(spark):
     assert second[0] >= first[0]
 
 
+def test_em_goes_on_to_its_tolerance_and_tells_if_it_does_not(spark):
+    rng = np.random.default_rng(1)
+    z = np.r_[rng.normal(-1, 1, 600), rng.normal(1.2, 1, 600)]
+    rows = spark.createDataFrame([(float(x),) for x in z], "z0 double")
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        fit_mixture(rows, 1, [], 2, 2)
+    m = fit_mixture(rows, 1, [], 2)
+    here = m.statistics(z[:, None], [])
+    then = m.maximised(here).statistics(z[:, None], [])
+    assert then[0] - here[0] < 1e-5 * len(z)
+
+
 CELLS = "row_id long, security_id long, date date, vol double, size double, sector string, regime string, g string, t int, row string"
 FIELDS = ([Number("vol", 0, 1, log=True), Number("size", 0, 50)], [Word("sector", "group"), Word("regime", "time")])
 
