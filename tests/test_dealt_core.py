@@ -119,14 +119,44 @@ def test_every_reading_of_a_day_is_tested(spark):
     assert sorted(r["date"] for r in days.collect()) == [day(n) for n in (40, 50, 60, 70)]
 
 
-def test_blocks_give_the_same_flags_as_a_whole_series(spark, monkeypatch):
-    x, r = series(1500, 3)
-    x = x.copy()
-    x[[100, 700, 1023, 1024, 1400]] *= 1.5
-    at = lambda n: dt.datetime.combine(day(n), dt.time())
-    rows = [(i, "A", at(i), float(x[i]), None if i == 0 else float(r[i]), 5.0, 1, 2, "z") for i in range(1500)]
-    got = sorted(x[0] for x in spikes.implausible(bars(spark, rows), "bar_id", "ticker", "date", "close", "log_ret", "volume").select("bar_id").collect())
-    assert got == [100, 700, 1023, 1024, 1400]
+def changing(seed):
+    """3,000 days whose spread changes fivefold halfway, with spikes that only the quiet half would call large."""
+    rng = np.random.default_rng(seed)
+    r = rng.normal(0, 1, 3000) * np.where(np.arange(3000) < 1500, 0.01, 0.05)
+    x = 100 * np.exp(np.cumsum(r))
+    x[[300, 700, 1100]] *= math.exp(0.25)
+    x[[500, 1900]] *= math.exp(0.9)
+    return x, r
+
+
+@pytest.mark.parametrize("offset", [0, 217, 1023])
+def test_a_series_is_never_cut(spark, offset):
+    at = lambda n: dt.datetime.combine(day(n + offset), dt.time())
+    rows, wanted = [], set()
+    for k in range(2):
+        x, r = changing(k)
+        f = flags(x, r)
+        hit = np.logical_or.reduce([f[c] for c in spikes.REASONS])
+        wanted |= {k * 10000 + int(i) for i in np.flatnonzero(hit)}
+        rows += [(k * 10000 + i, f"T{k}", at(i), float(x[i]), float(r[i]), 5.0, 1, 2, "z") for i in range(3000)]
+    got = {x[0] for x in spikes.implausible(bars(spark, rows), "bar_id", "ticker", "date", "close", "log_ret", "volume").select("bar_id").collect()}
+    assert got == wanted
+    assert {500, 1900, 10500, 11900} <= got and not got & {300, 700, 1100}
+
+
+def test_outlier_and_shift_are_held_against_each_other():
+    x, r = series()
+    up = lambda *at: np.exp(0.5 * np.isin(np.arange(120), at))
+    patch = flags(x * up(40, 41, 42), r)
+    assert np.flatnonzero(patch["spike_value"]).tolist() == [40, 41, 42]
+    stays = flags(x * np.exp(0.5 * (np.arange(120) >= 40)), r)
+    assert not stays["spike_value"].any()
+    # a shift and, while it lasts, a spike of its own; then five readings off, which is two shifts
+    both = flags(x * np.exp(0.5 * (np.arange(120) >= 40)) * np.exp(-0.6 * (np.arange(120) == 43)), r)
+    assert np.flatnonzero(both["spike_value"]).tolist() == [43]
+    assert not flags(x * up(*range(60, 65)), r)["spike_value"].any()
+    uneven = flags(x * np.exp(0.5 * (np.arange(120) == 70) + 1.9 * (np.arange(120) == 71)), r)
+    assert np.flatnonzero(uneven["spike_value"]).tolist() == [70, 71]
 
 
 # ---------------------------------------------------------------- rolling
