@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,9 @@ from rankloom.operators.asof import as_known
 from rankloom.operators.impute import Number, Word, impute
 from rankloom.operators.intervals import periods_and_gaps
 from rankloom.operators.regrid import regrid
-from rankloom.operators.rolling import RollingStore, rolling_totals, series
+from rankloom.operators.rolling import RollingStore, daily_amounts, month_of, series
 from rankloom.operators.spikes import implausible
-from rankloom.session import shared_dir, table
+from rankloom.session import scratch, table, written
 
 
 def _day(c: str):
@@ -29,23 +28,38 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_flags(spark, sf).select("bar_id")
 
 
-def p2_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    r = rolling_totals(table(spark, sf, "features"), "security_id", "date", "log_ret")
+def _rolling_store(spark: SparkSession, sf: str) -> RollingStore:
+    """The state of features by its own history: rows that came by the day after carry it forward, a quarter at a time; the later ones are a correction."""
+    late = F.coalesce(F.to_date("known_at") > F.date_add("date", 1), F.lit(False)).alias("late")
+    rows = table(spark, sf, "features").select("security_id", "date", "log_ret", late)
+    daily = daily_amounts(rows, "security_id", "date", "log_ret", "late").withColumn("month", month_of("d"))
+    landed = written(daily, "arrivals", "late", "month")
+    store = RollingStore(spark, scratch(spark, "rolling"))
+    lo, hi = landed.agg(F.min("d"), F.max("d")).first()
+    if lo is not None:
+        store.load(landed.where("not late"), lo, hi)
+        store.correct(landed.where("late"))
+    return store
+
+
+def _totals(state: DataFrame) -> DataFrame:
+    r = series(state, "security_id")
     return r.select("security_id", _day("day").alias("day"), *[(F.round(c, 8) + F.lit(0.0)).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
 
 
+def p2_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    return _totals(_rolling_store(spark, sf).current())
+
+
 def p2_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """The same totals by way of the store: what arrived on time is the first version, late rows are a correction."""
-    rows = table(spark, sf, "features").select("security_id", "date", "log_ret", (F.to_date("known_at") > F.date_add("date", 1)).alias("late"))
-    store = RollingStore(spark, f"{shared_dir(spark)}/rolling-{uuid.uuid4().hex[:12]}")
-    store.correct(rows.where(~F.coalesce("late", F.lit(False))), "security_id", "date", "log_ret")
-    store.correct(rows.where("late"), "security_id", "date", "log_ret")
-    r = series(store.current(), "security_id")
-    return r.select("security_id", _day("day").alias("day"), *[(F.round(c, 8) + F.lit(0.0)).alias(c) if c[0] in "tm" else F.col(c) for w in (7, 30) for c in (f"rows_{w}", f"total_{w}", f"mean_{w}")])
+    """The same totals read from the compacted store."""
+    store = _rolling_store(spark, sf)
+    store.compact()
+    return _totals(store.current())
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    r = rolling_totals(table(spark, sf, "features"), "security_id", "date", "log_ret")
+    r = series(_rolling_store(spark, sf).current(), "security_id")
     return r.where("rows_7 = 0 and rows_30 > 0").select("security_id", _day("day").alias("day"))
 
 

@@ -66,10 +66,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can reach: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) is a temporary folder made.
+    Only where that is unset and everything runs on this machine (tests) is a temporary folder made; elsewhere it is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf = spark.sparkContext._jvm.System.getProperty("rankloom.shared")
         if not conf:
             conf = "file://" + tempfile.mkdtemp(prefix="rankloom-")
@@ -91,16 +93,21 @@ def clear_written() -> None:
             return
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage by writing a table to the shared folder and reading it back.
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the process ends."""
+    if not _scratch:
+        atexit.register(clear_written)
+    _scratch.append(f"{shared_dir(spark)}/{what}-{os.getpid()}-{uuid.uuid4().hex[:12]}")
+    return _scratch[-1]
+
+
+def written(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """Cut the lineage by writing a table (partitioned ``by`` columns) to the shared folder and reading it back.
 
     The files outlive the loss of any executor, unlike cached blocks.
     """
-    path = f"{shared_dir(df.sparkSession)}/{what}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    if not _scratch:
-        atexit.register(clear_written)
-    _scratch.append(path)
+    path = scratch(df.sparkSession, what)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rankloom.operators.rolling import RollingStore
+from rankloom.operators.rolling import RollingStore, daily_amounts
+from rankloom.session import written
 
 
 def daily_bars(stream: DataFrame, entity: str, at: str, value: str, late: str = "1 day") -> DataFrame:
@@ -32,7 +33,7 @@ def keep_rolling(stream: DataFrame, store: RollingStore, entity: str, day: str,
         fs = path.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(path):
             return
-        store.correct(batch, entity, day, value)
+        store.add(written(daily_amounts(batch, entity, day, value), "batch"))
         fs.mkdirs(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()

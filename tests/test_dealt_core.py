@@ -204,16 +204,65 @@ def test_rolling_of_nothing_and_of_one_row(spark):
     assert as_lines(rolling.rolling_totals(readings(spark, [(1, D, 0.5, "", 1, 1.0)] * 2), "security_id", "date", "v")) == {(1, D): [2, 1.0, 0.5, 2, 1.0, 0.5]}
 
 
-def test_versions_add_up_and_rewrite_only_the_days_they_affect(spark, tmp_path):
-    rows = some_rows(7)
+def amounts(spark, rows):
+    return rolling.daily_amounts(readings(spark, rows), "security_id", "date", "v").withColumn("month", rolling.month_of("d")).cache()
+
+
+def bounds(daily):
+    return daily.agg({"d": "min"}).first()[0], daily.agg({"d": "max"}).first()[0]
+
+
+@pytest.mark.parametrize(("seed", "days"), [(7, 1000), (8, 20), (9, 92)])
+def test_the_store_carries_corrects_and_compacts(spark, tmp_path, seed, days):
+    rows = [*some_rows(seed), (1, day(89), 1.0, "x", 1, 1.0)]
+    late = [r for i, r in enumerate(rows[:-1]) if i % 9 == 0]
+    in_time = [r for i, r in enumerate(rows) if i % 9 or i == len(rows) - 1]
+    store = rolling.RollingStore(spark, str(tmp_path / "state"))
+    first = store.load(amounts(spark, in_time), *bounds(amounts(spark, in_time)), days)
+    assert as_lines(rolling.series(store.current(), "security_id")) == rolling_by_hand(in_time)
+    fixed = store.correct(amounts(spark, late))
+    assert fixed == len(first) + 1
+    by_hand = rolling_by_hand(rows)
+    assert as_lines(rolling.series(store.current(), "security_id")) == by_hand
+    store.compact()
+    assert as_lines(rolling.series(store.current(), "security_id")) == by_hand
+    assert as_lines(rolling.series(store.current(fixed - 1), "security_id")) == rolling_by_hand(in_time)
+
+
+def test_a_correction_reads_and_writes_the_days_it_affects(spark, tmp_path):
+    rows = [(1, day(n), 1.0, "x", 1, 1.0) for n in range(200)]
+    store = rolling.RollingStore(spark, str(tmp_path / "state"))
+    daily = amounts(spark, rows)
+    store.load(daily, *bounds(daily), 50)
+    v = store.correct(amounts(spark, [(1, day(70), 1.0, "x", 1, 1.0)]))
+    name = next(x[3] for x in store._all() if x[0] == v)
+    wrote = spark.read.parquet(f"{store.root}/{name}")
+    assert wrote.count() == 30 and wrote.where("d = %d" % (day(70) - dt.date(1970, 1, 1)).days).first()["n_7"] == 8
+    touched = store.current(months=sorted({(day(n).year * 100 + day(n).month) for n in range(70, 100)}))
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [month" in plan
+    assert {r["d"] for r in touched.collect()} < {r["d"] for r in store.current().collect()}
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    store = rolling.RollingStore(spark, str(tmp_path / "state"))
+    daily = amounts(spark, [(1, day(n), 1.0, "x", 1, 1.0) for n in range(3)])
+    lo, hi = bounds(daily)
+    store.load(daily, lo, hi)
+    assert store._claim() == 2  # a writer that dies here
+    with pytest.raises(rolling.ConcurrentWrite):
+        store.advance(daily, hi + 1)
+    store.release(2)
+    assert store.advance(daily, hi + 1) == 2
+    with pytest.raises(ValueError, match="correction"):
+        store.correct(amounts(spark, [(1, day(50), 1.0, "x", 1, 1.0)]))
+    with pytest.raises(ValueError, match="has reached"):
+        store.advance(daily, hi)
+
+
+def test_an_empty_store_reads_as_nothing(spark, tmp_path):
     store = rolling.RollingStore(spark, str(tmp_path / "state"))
-    late = [r for i, r in enumerate(rows) if i % 9 == 0]
-    store.correct(readings(spark, [r for i, r in enumerate(rows) if i % 9]), "security_id", "date", "v")
-    before = store.current().count()
-    assert store.correct(readings(spark, late), "security_id", "date", "v") == 2
-    assert store.read(2).count() < before
-    assert as_lines(rolling.series(store.current(), "security_id")) == rolling_by_hand(rows)
-    assert as_lines(rolling.series(store.current(1), "security_id")) == rolling_by_hand([r for i, r in enumerate(rows) if i % 9])
+    assert store.current().count() == 0 and store.add(amounts(spark, [])) == []
 
 
 def test_one_day_step_equals_the_history(spark):
