@@ -18,7 +18,7 @@ entity with a third of all rows comes to one row a day before anything is ordere
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +42,6 @@ def _kind(column: str) -> str:
     return TOTAL if column[0] == "s" else "long"
 
 
-def _summed(rows: DataFrame, columns: Iterable[str], *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.sum(c).cast(_kind(c)).alias(c) for c in columns])
-
-
 def daily_amounts(df: DataFrame, entity: str, day: str, value: str, *also: str) -> DataFrame:
     """(k, d, *also, n, c, s): rows, usable values and their sum; NULL keys and days are left out, NaN and infinities are no value."""
     return (
@@ -56,25 +52,33 @@ def daily_amounts(df: DataFrame, entity: str, day: str, value: str, *also: str)
     )
 
 
-def _changes(daily: DataFrame, periods: Sequence[int], own: bool = True) -> DataFrame:
-    """A day's amounts as a change on the day itself (with ``own``) and an opposite one, for each period, on the day they expire."""
-    ways = [F.struct((F.col("d") + w).alias("d"), F.lit(w).alias("w")) for w in periods]
-    e = daily.select("k", "n", "c", "s", F.explode(F.array(*([F.struct(F.col("d").alias("d"), F.lit(0).alias("w"))] if own else []), *ways)).alias("e"))
-    zero = F.lit(0)
-    return e.select(
-        "k", F.col("e.d").alias("d"), *[F.when(F.col("e.w") == 0, F.col(o[0])).otherwise(zero).cast(_kind(o)).alias(o) for o in OWN],
-        *[F.when(F.col("e.w") == 0, F.col(c[0])).when(F.col("e.w") == int(c[2:]), -F.col(c[0])).otherwise(zero).cast(_kind(c)).alias(c) for c in _names(periods)],
-    )
+def _carried(rows: DataFrame, periods: Sequence[int], start: int | None, upto: int | None) -> DataFrame:
+    """The state on each day from running sums; days on which all periods are empty are left out.
 
+    Of the rows (k, d, kind, n, c, s, totals), those of kind 0 are totals to begin with on their day; a day's amounts
+    (kind 2) are a change on the day itself and an opposite one, for each period, on the day they expire, the amounts of days before
+    ``start`` (kind 1) only the latter.  The state goes on to the day ``upto``, or to the day before the last amounts expire.
 
-def _carried(changes: DataFrame, periods: Sequence[int], upto: int | None) -> DataFrame:
-    """The state on each day from the running sums of the changes, up to the day ``upto`` or that of the last change; days on which all periods are empty are left out."""
+    The rows are shuffled once, by entity and before they are multiplied; sums and windows then find them in place.
+    """
     names = _names(periods)
+    ways = F.concat(F.when(F.col("kind") == 1, F.array().cast("array<int>")).otherwise(F.array(F.lit(0))), F.when(F.col("kind") > 0, F.array(*[F.lit(w) for w in periods])).otherwise(F.array().cast("array<int>")))
+    e = rows.repartition("k").select("*", F.explode(ways).alias("w")).withColumn("d", F.col("d") + F.col("w"))
+    if start is not None:
+        e = e.where((F.col("d") >= start) & (F.col("d") <= upto))
+    came = F.col("w") == 0
+    own = [F.sum(F.when(came & (F.col("kind") == 2), F.col(o[0]))).alias(o) for o in OWN]
+    change = [F.sum(F.when(F.col("kind") == 0, F.col(x)).when(came, F.col(x[0])).when(F.col("w") == int(x[2:]), -F.col(x[0]))).alias(x) for x in names]
+    changes = e.groupBy("k", "d").agg(*own, *change)
     w = W.partitionBy("k").orderBy("d")
     until = F.lead("d").over(w) - 1
-    states = _summed(changes, [*OWN, *names], "k", "d").select("k", "d", *OWN, (until if upto is None else F.coalesce(until, F.lit(upto))).alias("until"), *[F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)).cast(_kind(c)).alias(c) for c in names])
+    states = changes.select("k", "d", *OWN, (until if upto is None else F.coalesce(until, F.lit(upto))).alias("until"), *[F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)).cast(_kind(x)).alias(x) for x in names])
     days = states.where(F.col("until").isNotNull() & (F.col(f"n_{max(periods)}") > 0)).select("*", F.explode(F.sequence("d", "until")).alias("day"))
-    return days.select("k", F.col("day").alias("d"), *[F.when(F.col("day") == F.col("d"), F.col(c)).otherwise(0).cast(_kind(c)).alias(c) for c in OWN], *names)
+    return days.select("k", F.col("day").alias("d"), *[F.coalesce(F.when(F.col("day") == F.col("d"), F.col(c)), F.lit(0)).cast(_kind(c)).alias(c) for c in OWN], *names)
+
+
+def _amounts(daily: DataFrame, kind: int, periods: Sequence[int]) -> DataFrame:
+    return daily.select("k", "d", F.lit(kind).alias("kind"), "n", "c", "s", *[F.lit(None).cast(_kind(x)).alias(x) for x in _names(periods)])
 
 
 def advance(state: DataFrame, daily: DataFrame, start: int, upto: int, periods: Sequence[int] = PERIODS) -> DataFrame:
@@ -82,12 +86,10 @@ def advance(state: DataFrame, daily: DataFrame, start: int, upto: int, periods:
 
     ``state`` needs the day before ``start`` for its totals and the ``max(periods)`` days before for their own amounts.
     """
-    top = max(periods)
-    yesterday = state.where(F.col("d") == start - 1).select("k", F.lit(start).alias("d"), *[F.lit(0).cast(_kind(c)).alias(c) for c in OWN], *_names(periods))
-    before = state.where((F.col("d") >= start - top) & (F.col("d") < start) & (F.col("n_d") > 0)).select("k", "d", *[F.col(c).alias(c[0]) for c in OWN])
-    came = daily.where((F.col("d") >= start) & (F.col("d") <= upto)).select("k", "d", "n", "c", "s")
-    changes = yesterday.unionByName(_changes(before, periods, own=False)).unionByName(_changes(came, periods))
-    return _carried(changes.where((F.col("d") >= start) & (F.col("d") <= upto)), periods, upto)
+    yesterday = state.where(F.col("d") == start - 1).select("k", F.lit(start).alias("d"), F.lit(0).alias("kind"), *[F.lit(None).cast(_kind(c)).alias(c[0]) for c in OWN], *_names(periods))
+    before = state.where((F.col("d") >= start - max(periods)) & (F.col("d") < start) & (F.col("n_d") > 0)).select("k", "d", *[F.col(c).alias(c[0]) for c in OWN])
+    came = daily.where((F.col("d") >= start) & (F.col("d") <= upto))
+    return _carried(yesterday.unionByName(_amounts(before, 1, periods)).unionByName(_amounts(came, 2, periods)), periods, start, upto)
 
 
 def step(yesterday: DataFrame, daily: DataFrame, day: int, periods: Sequence[int] = PERIODS) -> DataFrame:
@@ -97,12 +99,14 @@ def step(yesterday: DataFrame, daily: DataFrame, day: int, periods: Sequence[int
 
 def state_of(daily: DataFrame, periods: Sequence[int] = PERIODS) -> DataFrame:
     """The state of a whole history at once, each entity's days from its first to the day before its last amounts expire."""
-    return _carried(_changes(daily, periods), periods, None)
+    return _carried(_amounts(daily, 2, periods), periods, None, None)
 
 
-def add_states(states: Sequence[DataFrame], periods: Sequence[int] = PERIODS) -> DataFrame:
-    """The state of all rows together, from the states of disjoint sets of rows."""
-    return _summed(reduce(lambda a, b: a.unionByName(b), states), [*OWN, *_names(periods)], "k", "d")
+def corrected(state: DataFrame, delta: DataFrame, periods: Sequence[int] = PERIODS) -> DataFrame:
+    """The days of ``delta`` after it is added to the state: states of disjoint sets of rows add up."""
+    cols = [*OWN, *_names(periods)]
+    rows = state.select("k", "d", *cols, F.lit(False).alias("new")).unionByName(delta.select("k", "d", *cols, F.lit(True).alias("new")))
+    return rows.repartition("k").groupBy("k", "d").agg(*[F.sum(c).cast(_kind(c)).alias(c) for c in cols], F.max("new").alias("new")).where("new").drop("new")
 
 
 def series(state: DataFrame, entity: str, periods: Sequence[int] = PERIODS) -> DataFrame:
@@ -233,7 +237,8 @@ class RollingStore:
         parts = [p.drop("version") for p in of(True)]
         if several := of(False):
             rows = reduce(lambda a, b: a.unionByName(b), several)
-            parts.append(rows.groupBy("k", "d").agg(F.max_by(F.struct(*cols), "version").alias("x")).select("k", "d", *[F.col(f"x.{c}").alias(c) for c in cols]))
+            newest = F.lead("d").over(W.partitionBy("k").orderBy("d", "version"))  # in the order that series needs anyway
+            parts.append(rows.repartition("k").withColumn("next", newest).where("next is null or next <> d").select("k", "d", *cols))
         if not parts:
             return self.spark.createDataFrame([], self.schema).drop("month")
         return reduce(lambda a, b: a.unionByName(b), parts)
@@ -257,9 +262,8 @@ class RollingStore:
         latest = daily.agg(F.max("d")).first()[0]
         if last is None or latest > last:
             raise ValueError(f"rows of day {latest} are no correction: the state has reached day {last}")
-        delta = _carried(_changes(daily, self.periods), self.periods, None).where(F.col("d") <= last)
-        touched = self.current(months=months).join(delta.select("k", "d"), ["k", "d"], "left_semi")
-        return self._write(add_states([touched, delta], self.periods), "correct", last)
+        delta = state_of(daily, self.periods).where(F.col("d") <= last)
+        return self._write(corrected(self.current(months=months), delta, self.periods), "correct", last)
 
     def add(self, daily: DataFrame) -> list[int]:
         """Amounts of any days: those up to the frontier as a correction, the later ones as an advance to their last day.  daily is read several times: hand over a stored table."""

@@ -33,7 +33,7 @@ def _rolling_store(spark: SparkSession, sf: str) -> RollingStore:
     late = F.coalesce(F.to_date("known_at") > F.date_add("date", 1), F.lit(False)).alias("late")
     rows = table(spark, sf, "features").select("security_id", "date", "log_ret", late)
     daily = daily_amounts(rows, "security_id", "date", "log_ret", "late").withColumn("month", month_of("d"))
-    landed = written(daily, "arrivals", "late", "month")
+    landed = written(daily, "arrivals", "month")
     store = RollingStore(spark, scratch(spark, "rolling"))
     lo, hi = landed.agg(F.min("d"), F.max("d")).first()
     if lo is not None:
