@@ -1,17 +1,17 @@
-"""Keyword-stuffed pages, link lists and tag lists.
-
-A text is read as a sequence of word classes: every function word is a class of its own,
-other words fall into lower-case, capitalised and upper-case words, identifiers and numbers, and
-links, markup and each punctuation sign have theirs.  An interpolated trigram model of these
-classes is trained on the sentences of the corpus itself that have the build of prose; its
-counts are taken over all documents and have the size of the class alphabet.
-
-Each text is then scored in units (lines, sentences, or UNIT tokens of either).  The usual
-perplexity is that of the training sentences (median and spread in logs, counted in a
-histogram).  A unit is spam if it is made of links or #tags, or if its perplexity is abnormally low or
-high and its words are keywords: words that this page repeats, without the function words,
-numbers and identifiers of sentences, tables, logs and code.  A page is spam if spam units make
-up more than half of its characters.
+"""Keyword-stuffed pages, link lists and tag lists, told by their perplexity under a model of prose.
+
+A text is read as a sequence of word classes.  The words found in most documents (function words above all; they are
+counted, not listed) are classes of their own; every other word is a content word, classed by its shape and by how often the
+page has said it before within WINDOW words.  Links, #tags and signs are classes too; numbers, identifiers, single letters, words that touch a
+bracket or an operator, and words in capitals that are not repeated (codes of all kinds) are one class, and of a row of equal signs or codes one is kept.
+
+An interpolated trigram model of these classes is trained on the prose of the corpus itself: units with the build of a
+sentence, on pages that do not say the same two words over and over.  Each word, link and tag of a text then has a surprise (negative log
+probability), and the log perplexity around it is the mean over the SPAN tokens on both sides.  It is abnormal if it exceeds
+what only the fraction ``RARE`` of the single tokens of the prose reaches; so the bar comes from all the prose and moves with it.
+Keyword lists, stuffed sentences, links and tags are improbable for prose: repeated content words follow each other, links and tags have no
+place in sentences.  Numbers, codes and signs are no words and bear no surprise, so tables, logs and code stay usual.
+A page is spam if the words, links and tags of abnormal perplexity make up more than half of its characters.
 """
 
 from __future__ import annotations
@@ -27,80 +27,64 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import text as tx
 
-# fixed values: frequent function words of the corpus' languages
-FUNCTION_WORDS = (
-    "c d j l m n qu s t "  # what an apostrophe cuts off
-    "a about after again against all also an and any are as at be because been before being below between both but by can cannot could did do does doing down during each either else every few for from further had has have having he her here hers him his how "
-    "i if in into is it its itself just let like many may me might more most much must my neither no nor not now of off on once only onto or other our out over own per please quite rather same shall she should since so some such than that the their them then there these they this those though through to too under until up upon us very was we were what when where whether which while who whom whose why will with within without would yet you your "
-    "aber alle allem allen aller alles als also am an andere auch auf aus bei beim bin bis bist da damit dann das dass dem den der des dessen die dies diese diesem diesen dieser dieses doch dort du durch ein eine einem einen einer eines er es etwas euch für gegen gerade habe haben hat hatte hier hinter ich ihm ihn ihr ihre im in indem ins ist ja jede jedem jeden jeder jetzt kann kein keine können mehr mein mit muss nach nicht nichts nie noch nun nur ob oder ohne schon sehr sein seine sich sie sind so soll sondern über um und uns unser unter vom von vor warum was weder weil weiter welche wenn wer werden wie wieder wir wird wo wurde wurden zu zum zur zwischen "
-    "au aucun aussi autre aux avant avec avoir car ce ceci cela ces cet cette ceux chaque comme comment dans de depuis des dont donc du elle elles en encore entre est et eux fait ici il ils je jamais la le les leur leurs lors lui ma mais même mes moi mon ne ni nos notre nous on ont où ou par parce pas pendant peu peut plus pour pourquoi qu quand que quel quelle qui sa sans sauf se selon ses si son sont sous sur ta te tes toi ton tous tout toute toutes très tu un une vos votre vous y "
-    "al algo algunos ante antes aquel así aún cada como con contra cual cuando de del desde donde durante el ella ellas ellos en entre era es esa esas ese eso esos esta estas este esto estos está fue ha hacia han hasta hay la las le les lo los más me mi mientras muy nada ni no nos nosotros nunca o os otra otro para pero poco por porque pues que quien quienes sé se según ser si sí sin sino sobre solo son su sus también tan tanto te todo todos tras tu un una uno unos y ya"
-).split()
-
+LEARNED = 1000  # words with a class of their own
+TRIPLES = 1 << 20  # triples that the model holds, the most frequent ones; what is rarer falls back to pairs
+WINDOW = 4096  # words back to which a word counts as said before
+SPAN = 8  # tokens on both sides over which surprise is averaged
+PRIOR = 8  # tokens of usual surprise that are added to each mean, so that a few tokens alone prove nothing
+RARE = 0.002
 UNIT = 32
-LONGEST = 64  # runs without a function word are counted up to here
-ODDS = 1.3  # standard deviations beyond which a unit's log perplexity is abnormal
-SHORT = 60  # content words up to which a page repeats a word by saying it twice
-RARE = 6.0  # surprise from which a run without a function word is abnormal
-OTHER, LOWER, TITLE, UPPER, IDENT, NUMBER, LINK, MARKUP, BREAK, TAG = range(10)
-SIGNS = ".,;:?!()[]{}<>=/|-#*\"'`+&%$@~_\\"  # each a class
-FIRST_SIGN = 10
-FIRST_WORD = FIRST_SIGN + len(SIGNS)
-_LINKS = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\s<>\"'()\[\]]+|\bwww\.[^\s<>\"'()\[\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|test|example|invalid|info|io|de|fr|es)/[^\s<>\"'()\[\]]*")
+NEAR = 64  # words back to which two words count as an echo,
+AGAIN = 2  # if said so often before;
+ECHO = 0.4  # a page with more than this share of its words in echoes is no model of prose
+SHAPE_LOWER, SHAPE_TITLE, SHAPE_UPPER = range(3)
+# classes of tokens that are no words, of links and tags; then content words by shape and repetition; then learned words
+CODE, BREAK, END, COMMA, SIGN, LINK, TAG = range(7)
+LEVELS = np.array([1, 2, 4, 8])  # how often said before
+CONTENT = 7
+FIRST_WORD = CONTENT + 3 * (len(LEVELS) + 1)
+_LINKS = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\s<>\"'()\[\]]+|\bwww\.[^\s<>\"'()\[\]]+|\b[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}/[^\s<>\"'()\[\]]*")
 _ANCHOR = re.compile(r"<a\b|<[^>]*\bhref\b", re.I)  # other tags are layout, not text
 _TAGS = re.compile(r"</?[A-Za-z][^<>]*>")
 
-_KIND = np.zeros(256, np.uint8)  # 0 blank, 1 letter, 2 digit, 3 underscore, 4 sign, 5 line break, 6 link, 7 markup
+_KIND = np.zeros(256, np.uint8)  # 0 blank, 1 letter, 2 digit, 3 underscore, 4 sign, 5 line break, 6 link or anchor
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[list(range(48, 58))] = 2
 _KIND[95] = 3
 _KIND[[b for b in range(33, 127) if not (chr(b).isalnum() or b == 95)]] = 4
 _KIND[[10, 13]] = 5
-_KIND[1], _KIND[2] = 6, 7
+_KIND[1] = 6
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SIGN = np.zeros(256, np.int32)
-for _i, _c in enumerate(SIGNS):
-    _SIGN[ord(_c)] = FIRST_SIGN + _i
-
-
-def _vocabulary() -> tuple[np.ndarray, np.ndarray]:
-    every = sorted(set(FUNCTION_WORDS))
-    code = tx.words(every).code
-    order = np.argsort(code)
-    return code[order], (FIRST_WORD + order).astype(np.int32)
-
-
-CLASSES = FIRST_WORD + len(set(FUNCTION_WORDS))
+_SIGN = np.full(256, SIGN, np.int32)
+_SIGN[[ord(c) for c in ".?!"]] = END
+_SIGN[[ord(c) for c in ",;:"]] = COMMA
+_TOUCH = np.isin(np.arange(256), [ord(c) for c in "()[]{}=*+$\\"])  # a word that touches one of these is a name in code
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Tokens:
     text: np.ndarray  # text of each token
-    kind: np.ndarray  # its class
+    kind: np.ndarray  # its class; content words by shape, without repetition
+    word: np.ndarray  # whether it is one: letters, no digits or underscores
     size: np.ndarray  # its characters
-    code: np.ndarray  # number of its spelling, for words
-    unit: np.ndarray  # unit of the text it lies in, numbered through
+    code: np.ndarray  # number of its spelling in lower case
     texts: int
 
 
-_table: list = []
-
-
 def tokens(texts: list[str]) -> Tokens:
     """Classes of all tokens of some texts."""
-    if not _table:
-        _table.append(_vocabulary())
     prepared = []
     for t in texts:
-        if "\x01" in t or "\x02" in t:
-            t = t.replace("\x01", " ").replace("\x02", " ")
+        if "\x01" in t:
+            t = t.replace("\x01", " ")
         if not t.isascii():
             t = tx._OTHER.sub(lambda m: "\n" if m[0] in "  \x85" else " ", tx.unicodedata.normalize("NFC", t))
         if "/" in t or "www." in t:
             t = _LINKS.sub(lambda m: "\x01" * len(m[0]), t)
         if "<" in t:
-            t = _TAGS.sub(lambda m: "\x02" * len(m[0]) if _ANCHOR.match(m[0]) else " ", t)
+            t = _TAGS.sub(lambda m: ("\x01" if _ANCHOR.match(m[0]) else " ") * len(m[0]), t)
         prepared.append(t.encode("utf-8", "replace"))
     bounds = np.cumsum([0, *[len(p) + 1 for p in prepared]])
     data = np.frombuffer(b"\x00".join(prepared) + b"\x00", np.uint8)
@@ -113,202 +97,210 @@ def tokens(texts: list[str]) -> Tokens:
     keep = kind[start] > 0
     start, end = start[keep], end[keep]
     g = group[start]
-    word = g == 1
+    spelled = g == 1
     total = lambda m: np.concatenate([[0], np.cumsum(m, dtype=np.int32)])
-    upper, digit, under = total((data >= 65) & (data <= 90)), total(kind == 2), total(kind == 3)
+    upper, odd = total((data >= 65) & (data <= 90)), total((kind == 2) | (kind == 3))
     lead = total((data & 0xC0) != 0x80)  # characters, not bytes
-    n = lead[end] - lead[start]
-    up, dg, un = (x[end] - x[start] for x in (upper, digit, under))
-    code = tx.codes(_LOWER[data], start, end)
-    vocab, ids = _table[0]
-    at = np.minimum(np.searchsorted(vocab, code), len(vocab) - 1)
-    function = word & (vocab[at] == code)
-    cls = np.full(len(start), OTHER, np.int32)
-    cls[word] = LOWER
-    cls[word & (up > 0)] = TITLE
-    cls[word & (up > 1) & (up == n - dg - un)] = UPPER
-    cls[word & ((un > 0) | (dg > 0))] = IDENT
-    cls[word & (dg == n)] = NUMBER
-    cls[function] = ids[at[function]]
-    cls[g == 6], cls[g == 7], cls[g == 5] = LINK, MARKUP, BREAK
+    n, up, digits = (x[end] - x[start] for x in (lead, upper, odd))
+    cls = np.full(len(start), CODE, np.int32)
+    word = spelled & (digits == 0)
+    shape = np.where(up == 0, SHAPE_LOWER, np.where((up > 1) & (up == n), SHAPE_UPPER, SHAPE_TITLE))
+    cls[word] = (CONTENT + shape * (len(LEVELS) + 1))[word]
+    cls[g == 6], cls[g == 5] = LINK, BREAK
     sign = g == 4
-    hash_before = np.r_[False, (data[start[:-1]] == 35) & (end[:-1] == start[1:])] if len(start) else sign
-    cls[word & hash_before & (dg < n - un)] = TAG
     cls[sign] = _SIGN[data[start[sign]]]
-    text = np.searchsorted(bounds, start, side="right") - 1
-    # units end at line breaks, sentence ends, and after UNIT tokens
-    new_text = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
-    ender = (cls == BREAK) | np.isin(cls, _SIGN[[ord(c) for c in ".?!"]]) & np.r_[end[:-1] < start[1:], True] if len(text) else new_text
-    head = new_text | np.r_[False, ender[:-1]] if len(text) else new_text
-    unit = np.cumsum(head)
-    since = np.arange(len(unit)) - np.maximum.accumulate(np.where(head, np.arange(len(unit)), 0)) if len(unit) else unit
-    unit = np.cumsum(head | (since % UNIT == 0)) - 1 if len(unit) else unit
-    return Tokens(text, cls, n.astype(np.int32), code, unit, len(texts))
+    if len(start):
+        cls[(cls == END) & np.r_[end[:-1] == start[1:], False] & (np.r_[kind[start[1:]], 5] < 4)] = SIGN  # inside a number or a name
+    hashed = np.r_[False, (data[start[:-1]] == 35) & (end[:-1] == start[1:])] if len(start) else sign
+    tag = spelled & hashed & (digits < n)
+    cls[tag] = TAG
+    named = word & (_TOUCH[data[np.maximum(start - 1, 0)]] | _TOUCH[data[np.minimum(end, len(data) - 1)]])
+    cls[named] = CODE
+    word &= ~tag & ~named
+    return Tokens(np.searchsorted(bounds, start, side="right") - 1, cls, word, n.astype(np.int32), tx.codes(_LOWER[data], start, end), len(texts))
+
+
+def _said_before(key: np.ndarray, window: int) -> np.ndarray:
+    """How many equal keys there are among the ``window`` ones before each."""
+    n = len(key)
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    head = np.cumsum(np.r_[False, k[1:] != k[:-1]]) if n else order
+    place = head * np.int64(n + window + 1) + order
+    out = np.empty(n, np.int64)
+    out[order] = np.arange(n) - np.searchsorted(place, place - np.minimum(order, window))
+    return out
 
 
 @dataclass
-class Model:
-    """Interpolated trigram model; keys are class triples, pairs and classes as numbers."""
-
-    tri: np.ndarray
-    tri_n: np.ndarray
-    bi_n: np.ndarray  # CLASSES ** 2
-    uni_n: np.ndarray
-    gap: np.ndarray | None = None  # surprise of a run of so many words or more without a function word
-    usual: float = 0.0  # log perplexity of the training sentences
-    spread: float = 1.0  # standard deviation of a token's surprise there
-
-    def log_prob(self, t: Tokens) -> np.ndarray:
-        """Natural log of each token's probability after the two before it in its text."""
-        return self.prob(*_triples(t))
-
-    def prob(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        key = (a.astype(np.int64) * CLASSES + b) * CLASSES + c
-        i = np.minimum(np.searchsorted(self.tri, key), max(len(self.tri) - 1, 0))
-        n3 = np.where(self.tri[i] == key, self.tri_n[i], 0) if len(self.tri) else np.zeros(len(key))
-        d3 = self.bi_n[a * CLASSES + b]
-        n2, d2 = self.bi_n[b * CLASSES + c], self.uni_n[b]
-        p1 = (self.uni_n[c] + 0.5) / (self.uni_n.sum() + 0.5 * CLASSES)
-        p2 = (n2 + 5 * p1) / (d2 + 5)
-        return np.log((n3 + 5 * p2) / (d3 + 5))
-
-
-def _triples(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = t.kind
-    one, two = np.full(len(k), BREAK, np.int32), np.full(len(k), BREAK, np.int32)
-    if len(k) > 1:
-        one[1:] = np.where(t.text[1:] == t.text[:-1], k[:-1], BREAK)
-        two[2:] = np.where(t.text[2:] == t.text[:-2], k[:-2], BREAK)
+class Sequence:
+    """What is left of the tokens: codes and signs once in a row, content words with their repetition, learned words by their number."""
+
+    text: np.ndarray
+    kind: np.ndarray
+    size: np.ndarray
+    code: np.ndarray
+    scored: np.ndarray
+    texts: int
+
+
+def sequence(t: Tokens, learned: np.ndarray) -> Sequence:
+    """learned: the sorted codes of the words with a class of their own."""
+    cls = t.kind.copy()
+    w = np.flatnonzero(t.word)
+    before = np.zeros(len(cls), np.int64)
+    before[w] = _said_before(t.code[w] ^ (t.text[w].astype(np.uint64) * _MIX), WINDOW)
+    known = np.zeros(len(cls), bool)
+    if len(learned):
+        at = np.minimum(np.searchsorted(learned, t.code), len(learned) - 1)
+        known = t.word & (learned[at] == t.code)
+        cls[known] = FIRST_WORD + at[known]
+    content = t.word & ~known
+    codes = content & (((t.kind == CONTENT + SHAPE_UPPER * (len(LEVELS) + 1)) & (before == 0)) | (t.size == 1))
+    cls[content] += np.searchsorted(LEVELS, before[content], side="right").astype(np.int32)
+    cls[codes] = CODE
+    scored = cls >= LINK
+    again = np.r_[False, ~scored[1:] & (cls[1:] == cls[:-1]) & (t.text[1:] == t.text[:-1])] if len(cls) else scored
+    keep = ~again
+    size = np.bincount(np.cumsum(keep) - 1, t.size * (t.kind != BREAK)) if len(cls) else np.zeros(0)
+    return Sequence(t.text[keep], cls[keep], size, t.code[keep], scored[keep], t.texts)
+
+
+def _prose(s: Sequence) -> np.ndarray:
+    """Tokens in units with the build of a sentence (5 words or more, a quarter of them learned, an end, no links and few codes) on pages without echoes."""
+    k = s.kind
+    if not len(k):
+        return np.zeros(0, bool)
+    fresh = np.r_[True, s.text[1:] != s.text[:-1]]
+    head = fresh | np.r_[False, (k[:-1] == BREAK) | (k[:-1] == END)]
+    since = np.arange(len(k)) - np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
+    unit = np.cumsum(head | (since % UNIT == 0)) - 1
+    count = lambda m: np.bincount(unit, m)[unit]
+    words = count(k >= CONTENT)
+    built = (words >= 5) & (count(k >= FIRST_WORD) >= 0.25 * words) & (count((k == LINK) | (k == TAG)) == 0) & (count(k == CODE) <= 0.4 * words) & (count(k == END) > 0)
+    w = np.flatnonzero(k >= CONTENT)
+    echo = np.zeros(len(k), bool)
+    if len(w) > 1:
+        c = s.code[w]
+        two = (c[:-1] * np.uint64(31) + c[1:] * np.uint64(1009) + s.text[w[1:]].astype(np.uint64)) * _MIX
+        often = (_said_before(two, NEAR) >= AGAIN) & (s.text[w[1:]] == s.text[w[:-1]])
+        echo[w[:-1][often]] = echo[w[1:][often]] = True
+    share = np.bincount(s.text, echo, minlength=s.texts) / np.maximum(np.bincount(s.text, k >= CONTENT, minlength=s.texts), 1)
+    return built & (share <= ECHO)[s.text]
+
+
+def _triples(s: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = s.kind.astype(np.int64)
+    one, two = np.full(len(k), BREAK, np.int64), np.full(len(k), BREAK, np.int64)
+    one[1:] = np.where(s.text[1:] == s.text[:-1], k[:-1], BREAK)
+    two[2:] = np.where(s.text[2:] == s.text[:-2], k[:-2], BREAK)
     return two, one, k
 
 
-def _unit_sums(t: Tokens, *masks: np.ndarray) -> list[np.ndarray]:
-    n = int(t.unit[-1]) + 1 if len(t.unit) else 0
-    return [np.bincount(t.unit, m, minlength=n) for m in masks]
-
-
-def _prose_units(t: Tokens) -> np.ndarray:
-    """Units with the build of a sentence: 6 words or more, a quarter of them function words, few numbers, signs and repeats, no links."""
-    k = t.kind
-    words, function, content, odd, links, same = _unit_sums(t, (k >= FIRST_WORD) | (k == LOWER) | (k == TITLE), k >= FIRST_WORD, (k == LOWER) | (k == TITLE), (k == NUMBER) | (k == IDENT) | (k == UPPER), (k == LINK) | (k == MARKUP) | (k == TAG), np.ones(len(k)))
-    return (words >= 6) & (function >= 0.25 * words) & (odd <= 0.4 * words) & (links == 0) & (words + odd >= 0.7 * same)
-
-
-def _gaps(t: Tokens, within: np.ndarray) -> np.ndarray:
-    """Content words since the last function word, up to each token; counted anew where ``within`` changes."""
-    content = (t.kind == LOWER) | (t.kind == TITLE) | (t.kind == UPPER)
-    total = np.cumsum(content)
-    at = np.arange(len(t.kind))
-    reset = (t.kind >= FIRST_WORD) | np.r_[True, within[1:] != within[:-1]] if len(at) else at > 0
-    last = np.maximum.accumulate(np.where(reset, at, 0))
-    return np.minimum(total - total[last] + content[last], LONGEST)
-
-
-def count(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(key, n): class triples in prose units, and gaps before function words there; the key of a gap is negative."""
-    if not len(t.kind):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, c = _triples(t)
-    use = _prose_units(t)[t.unit]
-    gap = np.r_[0, _gaps(t, t.unit)[:-1]]
-    head = np.r_[True, t.unit[1:] != t.unit[:-1]]
-    gap = gap[use & ~head & (t.kind >= FIRST_WORD)]
-    key = np.r_[(a[use].astype(np.int64) * CLASSES + b[use]) * CLASSES + c[use], -1 - gap]
-    return np.unique(key, return_counts=True)
-
-
-def build(key: np.ndarray, n: np.ndarray) -> Model:
-    order = np.argsort(key)
-    key, n = key[order], n[order].astype(float)
-    gaps = np.bincount(-1 - key[key < 0], n[key < 0], minlength=LONGEST + 1)
-    tri, n = key[key >= 0], n[key >= 0]
-    bi = np.bincount(tri % (CLASSES * CLASSES), n, minlength=CLASSES * CLASSES) if len(tri) else np.zeros(CLASSES * CLASSES)
-    m = Model(tri, n, bi, np.bincount(np.arange(CLASSES * CLASSES) % CLASSES, bi, minlength=CLASSES))
-    tail = np.cumsum(gaps[::-1])[::-1]
-    m.gap = -np.log((tail + 1) / (tail[0] + 2))
-    if n.sum():
-        p = -m.prob(tri // (CLASSES * CLASSES), tri // CLASSES % CLASSES, tri % CLASSES)
-        m.usual = float((p * n).sum() / n.sum())
-        m.spread = float(np.sqrt((p * p * n).sum() / n.sum() - m.usual**2))
-    return m
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted))
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[i] == wanted, values[i], 0)
 
 
-@dataclass
-class Units:
-    text: np.ndarray
-    chars: np.ndarray
-    surprise: np.ndarray  # mean negative log probability: log perplexity
-    size: np.ndarray  # tokens
-    gap: np.ndarray  # surprise of the longest run without a function word that it takes part in
-    words: np.ndarray
-    function: np.ndarray
-    odd: np.ndarray
-    links: np.ndarray  # characters of links, anchors and #tags
-    keyword: np.ndarray  # words the page repeats
-
-
-def measure(t: Tokens, model: Model) -> Units:
-    k = t.kind
-    content = (k == LOWER) | (k == TITLE) | (k == UPPER)
-    # how often the page has the word
-    at = np.flatnonzero(content)
-    key = t.code[at] ^ (t.text[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-    own = np.bincount(t.text[at], minlength=t.texts)[t.text[at]]
-    often = np.zeros(len(k), bool)
-    often[at] = n[inverse] >= np.where(own <= SHORT, 2, 3)  # no share of the page: many keywords have a small one each
-    # a function word inside a repeated phrase ("x of y" said over and over) makes no sentence
-    word = content | (k >= FIRST_WORD)
-    w = np.flatnonzero(word)
-    inside = np.zeros(len(k), bool)
-    if len(w) > 2:
-        inside[w[1:-1]] = often[w[:-2]] & often[w[2:]] & (w[2:] - w[:-2] == 2)
-    n_words, function, odd, links, keyword, chars, size, loss = _unit_sums(
-        t, word, (k >= FIRST_WORD) & ~inside, (k == NUMBER) | (k == IDENT), t.size * ((k == LINK) | (k == MARKUP) | (k == TAG)), often, t.size * (k != BREAK), np.ones(len(k)), -model.log_prob(t)
-    )
-    first = np.flatnonzero(np.r_[True, t.unit[1:] != t.unit[:-1]]) if len(t.unit) else np.zeros(0, np.int64)
-    longest = np.maximum.reduceat(_gaps(t, t.text), first) if len(first) else first
-    return Units(t.text[first], chars, loss / np.maximum(size, 1), size, model.gap[longest], n_words, function, odd, links, keyword)
-
-
-def spam_units(u: Units, model: Model) -> np.ndarray:
-    """Units that are links, or keywords of an abnormal perplexity."""
-    links = u.links >= 0.4 * np.maximum(u.chars, 1)
-    content = u.words - u.function
-    plain = (u.words >= 1) & (u.odd <= 0.25 * (u.words + u.odd))
-    repeated = (u.function <= 0.25 * u.words) & (u.keyword >= 0.5 * content)
-    mostly = u.keyword >= 0.45 * u.words
-    listed = (u.function <= 0.1 * u.words) & (u.words >= 5) & (u.keyword >= 0.25 * content)
-    abnormal = (np.abs(u.surprise - model.usual) > ODDS * model.spread / np.sqrt(np.maximum(u.size, 1))) | (u.gap > RARE)
-    return links | (plain & (repeated | mostly | listed) & abnormal)
-
-
-def score(t: Tokens, model: Model) -> np.ndarray:
-    """Share of each text's characters in spam units; 0 for an empty text."""
-    u = measure(t, model)
-    n = np.bincount(u.text, u.chars, minlength=t.texts)
-    return np.bincount(u.text, u.chars * spam_units(u, model), minlength=t.texts) / np.maximum(n, 1)
-
-
-def train(documents: DataFrame, text: str) -> Model:
-    """The model of all texts' prose.  What reaches the driver is bounded by the classes: distinct triples, not documents."""
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, inverse = np.unique(keys, return_inverse=True)
+    return u, np.bincount(inverse, n, minlength=len(u)).astype(float)
+
+
+class Model:
+    """Interpolated trigram model over the classes; keys are triples, pairs and classes as numbers."""
+
+    def __init__(self, learned: np.ndarray, key: np.ndarray, n: np.ndarray, level: float = RARE):
+        self.learned = learned
+        self.classes = c = FIRST_WORD + len(learned)
+        order = np.argsort(key)
+        self.tri, self.tri_n = key[order], n[order].astype(float)
+        self.pair, self.pair_n = _sums(self.tri % (c * c), self.tri_n)
+        self.front, self.front_n = _sums(self.tri // c, self.tri_n)
+        self.one = np.bincount(self.tri % c, self.tri_n, minlength=c)
+        self.lead = np.bincount(self.tri // c % c, self.tri_n, minlength=c)
+        a, b, k = self.tri // (c * c), self.tri // c % c, self.tri % c
+        surprise, seen = -self.log_prob(a, b, k)[k >= LINK], self.tri_n[k >= LINK]
+        order = np.argsort(-surprise)
+        tail = np.cumsum(seen[order])
+        # what only the fraction ``level`` of the prose's tokens exceeds; without prose nothing is abnormal
+        self.usual = float((surprise * seen).sum() / seen.sum()) if len(tail) else 0.0
+        self.limit = float(surprise[order][np.searchsorted(tail, level * tail[-1])]) if len(tail) else np.inf
+
+    def log_prob(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of class c after a and b."""
+        p1 = (self.one[c] + 0.5) / (self.one.sum() + 0.5 * self.classes)
+        p2 = (_lookup(self.pair, self.pair_n, b * self.classes + c) + 5 * p1) / (self.lead[b] + 5)
+        p3 = _lookup(self.tri, self.tri_n, (a * self.classes + b) * self.classes + c)
+        return np.log((p3 + 5 * p2) / (_lookup(self.front, self.front_n, a * self.classes + b) + 5))
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(share of characters in words, links and tags of abnormal perplexity, log perplexity) per text; 0 for an empty text."""
+        s = sequence(tokens(texts), self.learned)
+        n = s.texts
+        if not len(s.kind):
+            return np.zeros(n), np.zeros(n)
+        loss = np.where(s.scored, -self.log_prob(*_triples(s)), 0.0)
+        some, many = np.concatenate([[0], np.cumsum(loss)]), np.concatenate([[0], np.cumsum(s.scored)])
+        at = np.arange(len(s.kind))
+        first = np.searchsorted(s.text, np.arange(n))[s.text]
+        last = np.searchsorted(s.text, np.arange(n), side="right")[s.text]
+        a, b = np.maximum(at - SPAN, first), np.minimum(at + SPAN + 1, last)
+        around = (some[b] - some[a] + PRIOR * self.usual) / (many[b] - many[a] + PRIOR)
+        per = lambda m: np.bincount(s.text, m, minlength=n)
+        return per(s.size * (s.scored & (around > self.limit))) / np.maximum(per(s.size), 1), per(loss) / np.maximum(per(s.scored), 1)
+
+
+def _counted(documents: DataFrame, text: str, count) -> DataFrame:
+    """(x, n): the sums of what ``count`` yields for chunks of texts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict = {}
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
         for b in batches:
             for _, texts in tx.chunks([None] * b.num_rows, tx.column(b, "t")):
-                for k, n in zip(*(x.tolist() for x in count(tokens(texts)))):
-                    total[k] = total.get(k, 0) + n
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
+                k, n = count(texts)
+                keys.append(k)
+                sums.append(n)
+                if sum(map(len, keys)) > 1 << 22:
+                    k, n = _sums(np.concatenate(keys), np.concatenate(sums))
+                    keys, sums = [k], [n]
+        k, n = _sums(np.concatenate(keys), np.concatenate(sums))
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["x", "n"])
+
+    rows = documents.select(F.col(text).alias("t")).where("t is not null")
+    return rows.mapInArrow(gather, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
+
+
+def _spellings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code, texts): in how many texts each word occurs."""
+    w = tx.words([t.lower() if t.isascii() else tx.unicodedata.normalize("NFC", t) for t in texts])
+    own = np.unique(w.code ^ (w.text.astype(np.uint64) * _MIX), return_index=True)[1]
+    code, n = np.unique(w.code[own], return_counts=True)
+    return code.view(np.int64), n.astype(float)
+
+
+def train(documents: DataFrame, text: str, learned: int = LEARNED, triples: int = TRIPLES) -> Model:
+    """The model of all texts' prose.  The driver receives the ``learned`` most widespread words and the ``triples`` most frequent triples, whatever the corpus."""
+    top = _counted(documents, text, _spellings).orderBy(F.desc("n"), "x").limit(learned).select("x").toPandas()
+    words = np.sort(top["x"].to_numpy(np.int64).view(np.uint64))
+    classes = FIRST_WORD + len(words)
+
+    def count(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        s = sequence(tokens(texts), words)
+        use = _prose(s)
+        a, b, c = (x[use] for x in _triples(s))
+        key, n = np.unique((a * classes + b) * classes + c, return_counts=True)
+        return key, n.astype(float)
 
-    rows = documents.select(F.col(text).alias("t")).where("t is not null").mapInArrow(gather, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    got = rows.toPandas()
-    return build(got["k"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
+    got = _counted(documents, text, count).orderBy(F.desc("n"), "x").limit(triples).toPandas()
+    return Model(words, got["x"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
 
 
 def spam_scores(documents: DataFrame, doc: str, text: str, model: Model | None = None) -> DataFrame:
-    """(doc, spam_share, log_perplexity): per document the share of its characters in spam units, and its log perplexity under the prose model.
+    """(doc, spam_share, log_perplexity): per document the share of its characters in words, links and tags of abnormal perplexity, and its log perplexity under the prose model.
 
     NULL and empty texts have share 0.  Documents with a NULL id are left out; repeated documents are scored each.
     Other columns are ignored; an empty table gives an empty result.  Texts are read whole, whatever their length.
@@ -321,12 +313,7 @@ def spam_scores(documents: DataFrame, doc: str, text: str, model: Model | None =
         for b in batches:
             at = 0
             for ids, texts in tx.chunks([None] * b.num_rows, tx.column(b, "t")):
-                t = tokens(texts)
-                u = measure(t, fitted)
-                n = np.bincount(u.text, u.chars, minlength=t.texts)
-                share = np.bincount(u.text, u.chars * spam_units(u, fitted), minlength=t.texts) / np.maximum(n, 1)
-                size = np.bincount(u.text, u.size, minlength=t.texts)
-                loss = np.bincount(u.text, u.surprise * u.size, minlength=t.texts) / np.maximum(size, 1)
+                share, loss = fitted.judge(texts)
                 yield pa.RecordBatch.from_arrays([b["d"].slice(at, len(ids)), pa.array(share), pa.array(loss)], names=["d", "s", "p"])
                 at += len(ids)
 
@@ -334,5 +321,5 @@ def spam_scores(documents: DataFrame, doc: str, text: str, model: Model | None =
 
 
 def spam_pages(documents: DataFrame, doc: str, text: str, share: float = 0.5) -> DataFrame:
-    """(doc): documents with more than ``share`` of their characters in spam units."""
+    """(doc): documents with more than ``share`` of their characters in words, links and tags of abnormal perplexity."""
     return spam_scores(documents, doc, text).where(F.col("spam_share") > share).select(doc)

@@ -240,10 +240,32 @@ def test_spam_edge_cases(spark):
 
 
 def test_classes_of_words():
-    t = spam.tokens(["The Cat sat_2 AT 14 http://a.example/x <b>now</b> #tag, café\n"])
-    name = {v: k for k, v in vars(spam).items() if isinstance(v, int) and k.isupper() and v < spam.FIRST_SIGN and k not in ("UNIT",)}
-    kinds = [name.get(int(k), "word" if k >= spam.FIRST_WORD else spam.SIGNS[k - spam.FIRST_SIGN]) for k in t.kind]
-    assert kinds == ["word", "TITLE", "IDENT", "word", "NUMBER", "LINK", "word", "#", "TAG", ",", "LOWER", "BREAK"]
+    t = spam.tokens(["The Cat sat_2 AT 14.5 http://a.example/x <b>now</b> #tag, café f(xy) a.b.co/x\n"])
+    c = {spam.CODE: "code", spam.BREAK: "break", spam.END: "end", spam.COMMA: "comma", spam.SIGN: "sign", spam.LINK: "link", spam.TAG: "tag", spam.CONTENT: "lower", spam.CONTENT + 5: "title", spam.CONTENT + 10: "upper"}
+    assert [c[int(k)] for k in t.kind] == "title title code upper code sign code link lower sign tag comma lower code sign code sign link break".split()
+    s = spam.sequence(spam.tokens(["loan loan loan the AB 5 AB , ; xy x"]), spam.tokens(["the"]).code)
+    assert [int(k) for k in s.kind] == [spam.CONTENT, spam.CONTENT + 1, spam.CONTENT + 2, spam.FIRST_WORD, spam.CODE, spam.CONTENT + 11, spam.COMMA, spam.CONTENT, spam.CODE]
+
+
+def test_words_said_before():
+    rng = np.random.default_rng(3)
+    key = rng.integers(0, 9, 500)
+    got = spam._said_before(key.astype(np.uint64), 40)
+    assert got.tolist() == [int((key[max(0, i - 40) : i] == key[i]).sum()) for i in range(500)]
+
+
+def test_perplexity_decides_alone():
+    texts = [page(i) for i in range(40)]
+    code, n = spam._spellings(texts)
+    learned = np.sort(code[np.argsort(-n, kind="stable")][:60].view(np.uint64))
+    s = spam.sequence(spam.tokens(texts), learned)
+    use = spam._prose(s)
+    c = spam.FIRST_WORD + len(learned)
+    a, b, k = (x[use] for x in spam._triples(s))
+    m = spam.Model(learned, *np.unique((a * c + b) * c + k, return_counts=True))
+    share, loss = m.judge([page(99), *HONEST, *STUFFED, ""])
+    assert share[: 1 + len(HONEST)].max() < 0.5 < share[1 + len(HONEST) : -1].min() and share[-1] == loss[-1] == 0
+    assert spam.Model(learned, np.zeros(0, np.int64), np.zeros(0, np.int64)).judge(STUFFED)[0].max() == 0  # nothing to hold them against
 
 
 def test_plain_writing():
