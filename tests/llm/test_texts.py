@@ -111,6 +111,29 @@ def test_leaks_of_copies_spans_and_empty_tables(spark):
     assert leaks(d, items.where("false"), "doc_id", "text", "item_id", "item_text").count() == 0
 
 
+def test_many_blocks_of_items_and_one_scan(spark):
+    rng = random.Random(5)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    many = [(n, f"{INSTRUCTION}\n\n" + " ".join(letters() for _ in range(40))) for n in range(100, 150)]
+    texts = [FILL + t.split("\n\n")[1] + FILL for _, t in many[::7]] + [PASSAGE]
+    items = spark.createDataFrame(many + ITEMS[:2], "item_id long, item_text string")
+    read = lambda **o: leaks(docs(spark, texts), items, "doc_id", "text", "item_id", "item_text", **o)
+    whole, cut = read(), read(item_bytes=300)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(whole) == key(cut) and {(r[0], r[1]) for r in cut.select("doc_id", "item_id").collect()} == {(i, 100 + 7 * i) for i in range(8)} | {(8, 1)}
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
+def test_shared_turns_of_phrase_go_to_the_item_that_has_more_of_them(spark):
+    turn = "Branch {} sorted {} names by size and branch {} by age, yet {} ended last under either of the two orders that week."
+    a, b = turn.format("Norwood", 361, "Calder", "Moss"), turn.format("Easton", 766, "Torrance", "Reed")
+    items = spark.createDataFrame([(1, f"x\n\n{a}\n\n{PASSAGE}"), (2, f"x\n\n{b}\n\n{OTHER}"), (3, f"x\n\n{OTHER}\n\n{b}")], "item_id long, item_text string")
+    got = leaks(docs(spark, [FILL + a + FILL, FILL + b, a + " " + FILL * 2 + OTHER]), items, "doc_id", "text", "item_id", "item_text")
+    # 2 and 3 have the same wording
+    assert sorted((r[0], r[1]) for r in got.select("doc_id", "item_id").collect()) == [(0, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3)]
+
+
 def test_very_long_text_and_helpers(spark):
     assert found(spark, [FILL * 30_000 + PASSAGE + FILL * 10]) == [(0, 1)]
     assert merge([(5, 9), (1, 3), (4, 4), (20, 30), (25, 27)]) == [(1, 9), (20, 30)]
