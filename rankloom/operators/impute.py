@@ -6,15 +6,17 @@ Gaussian over the numbers and a distribution for each word field, is fitted by
 expectation-maximisation to all rows, complete or not.  A pass over the data yields nothing
 but sufficient statistics (class weights, first and second moments with the conditional
 moments of missing numbers, word counts); they are summed by Spark, so what reaches the
-driver has the size of the model.
+driver has the size of the model.  The passes start from the fit to a sample of at most about ``sample`` rows, chosen by a hash, which the driver
+brings to convergence first; so few passes over all rows are left to go to the tolerance.
 
 A missing number becomes the group's mean plus the mixture's conditional expectation given
-the row's other numbers and words.  A missing word becomes the mode of its posterior: the
+the row's other numbers, its helpers and words.  A missing word becomes the mode of its posterior: the
 words' counts among the rows of the same group (or the same time) as prior, times what the
 mixture says of the row.  Masks mark every filled cell.
 
 Group and time statistics are sums, built with partial aggregation; a group with a third of
-all rows is one row afterwards.  They are broadcast to the rows if their size, which is
+all rows is one row afterwards.  Of a group's words only those go to its rows that the fitted mixture can still make the mode, whatever the row.
+The statistics are broadcast to the rows if their size, which is
 counted first, is below BROADCAST_BYTES; else the rows are joined by key, where adaptive
 execution splits a hot key.
 """
@@ -28,13 +30,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.session import finite, written
 
 # fixed values: notations of a missing word, after trimming and lower-casing
-MISSING_WORDS = ("", "n/a", "na", "#n/a", "none", "null", "nil", "nan", "unknown", "unk", "undefined", "missing", "not available", "tbd", "?", "??", "-", "--", "---", ".", "..", "...", "_", "*", "x", "0", "999", "-999")
+MISSING_WORDS = ("", "n/a", "na", "#n/a", "none", "null", "nil", "nan", "unknown", "?", "-", "--", ".")
 BLANKS = "\t\n\r\x0b\x0c\u00a0\u200b\u2007\u202f\ufeff"
 BROADCAST_BYTES = 48 << 20
 
@@ -59,14 +62,15 @@ class Number:
 
 @dataclass(frozen=True)
 class Word:
-    """``by`` is 'group' or 'time': whose rows tell the word."""
+    """``by`` is 'group' or 'time': whose rows tell the word.  ``missing`` are the notations of a missing one, trimmed and in lower case."""
 
     name: str
     by: str = "group"
+    missing: Sequence[str] = MISSING_WORDS
 
     def usable(self) -> Column:
         v = F.lower(F.trim(F.translate(F.col(self.name), BLANKS, " " * len(BLANKS))))
-        return F.when(~v.isin(*MISSING_WORDS), v)
+        return F.when(~v.isin(*self.missing), v)
 
 
 def patterns(z: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -161,22 +165,50 @@ def _matrix(t: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
     return np.stack(cols, axis=1) if cols else np.zeros((t.num_rows, 0))
 
 
-def fit_mixture(rows: DataFrame, p: int, levels: Sequence[int], components: int = 3, rounds: int | None = None, tolerance: float = 1e-5) -> Mixture:
-    """EM over rows (z0.., w0..): numbers as distances from their group, words as codes, NULL where missing.
+def _codes(b: pa.RecordBatch, names: Sequence[str]) -> list[np.ndarray]:
+    return [np.asarray(b[n].fill_null(-1).to_numpy(zero_copy_only=False)).astype(np.int64) for n in names]
 
-    Rounds go on until the log likelihood rises by less than ``tolerance`` a row; a warning tells when ``rounds``, if given, ends them before.
-    """
-    names, codes = [f"z{j}" for j in range(p)], [f"w{i}" for i in range(len(levels))]
-    first = rows.agg(*[F.coalesce(f(n), F.lit(d)).alias(f"{a}{n}") for n in names for a, f, d in (("v", F.var_pop, 1.0), ("m", F.avg, 0.0))]).first() if p else {}
-    var = np.array([max(first[f"v{n}"], 1e-6) for n in names])
-    mid = np.array([first[f"m{n}"] for n in names])
-    spread = np.geomspace(0.3, 3.0, components)
-    lean = np.linspace(-0.3, 0.3, components)
+
+def _first_guess(z: np.ndarray, levels: Sequence[int], components: int) -> Mixture:
+    p = z.shape[1]
+    seen = np.isfinite(z)
+    n = np.maximum(seen.sum(axis=0), 1)
+    mid = np.where(seen, z, 0.0).sum(axis=0) / n
+    var = np.maximum(np.where(seen, (z - mid) ** 2, 0.0).sum(axis=0) / n, 1e-6)
+    var = np.where(seen.any(axis=0), var, 1.0)
     words = []
     for v in levels:
         tilt = 1 + 0.2 * np.cos(np.outer(np.arange(components) + 1, np.arange(v)))
         words.append(tilt / tilt.sum(axis=1, keepdims=True))
-    model = Mixture(np.full(components, 1 / components), mid + lean[:, None] * np.sqrt(var), np.array([np.diag(var * s) for s in spread]), words)
+    lean = np.linspace(-0.3, 0.3, components)
+    return Mixture(np.full(components, 1 / components), mid + lean[:, None] * np.sqrt(var), np.array([np.diag(var * s) for s in np.geomspace(0.3, 3.0, components)]).reshape(components, p, p), words)
+
+
+def fit_mixture(rows: DataFrame, p: int, levels: Sequence[int], components: int = 3, rounds: int | None = None, tolerance: float = 1e-5, sample: int = 50_000) -> Mixture:
+    """EM over rows (z0.., w0..): numbers as distances from their group, words as codes, NULL where missing; u, if there, is a hash of the row that chooses the sample.
+
+    Rounds go on until the log likelihood rises by less than ``tolerance`` a row; a warning tells when ``rounds``, if given, ends them before.
+    """
+    names, codes = [f"z{j}" for j in range(p)], [f"w{i}" for i in range(len(levels))]
+    few = rows
+    if "u" in rows.columns:
+        total = rows.count()
+        if total > sample:
+            few = rows.where(F.pmod("u", F.lit(1 << 30)) < int(sample / total * (1 << 30)))
+    start = few.select(*names, *codes).toArrow().combine_chunks()
+    batch = pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in start.columns], names=start.column_names) if start.num_rows else None
+    z = _matrix(batch, names) if batch is not None else np.zeros((0, p))
+    model = _first_guess(z, levels, components)
+    if batch is None:
+        return model
+    own = _codes(batch, codes)
+    last = -np.inf
+    for _ in itertools.count() if rounds is None else range(rounds):
+        s = model.statistics(z, own)
+        model = model.maximised(s)
+        if not s[0] - last >= tolerance * max(s[1], 1.0):
+            break
+        last = s[0]
     last = -np.inf
     for _ in itertools.count() if rounds is None else range(rounds):
         here = model
@@ -185,15 +217,12 @@ def fit_mixture(rows: DataFrame, p: int, levels: Sequence[int], components: int
             total = None
             for b in batches:
                 if b.num_rows:
-                    c = [np.asarray(b[n].fill_null(-1).to_numpy(zero_copy_only=False)).astype(np.int64) for n in codes]
-                    s = here.statistics(_matrix(b, names), c)
+                    s = here.statistics(_matrix(b, names), _codes(b, codes))
                     total = s if total is None else total + s
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "x"])
 
-        got = rows.mapInArrow(gather, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        if not got:
-            return model
+        got = rows.select(*names, *codes).mapInArrow(gather, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
         s = np.zeros(len(got))
         for at, x in got:
             s[at] = x
@@ -206,92 +235,137 @@ def fit_mixture(rows: DataFrame, p: int, levels: Sequence[int], components: int
     return model
 
 
-def _sized(stats: DataFrame) -> tuple[DataFrame, bool]:
+def _sized(stats: DataFrame, what: str) -> tuple[DataFrame, bool]:
     """The statistics as a written table, and whether they are small enough to broadcast."""
-    kept = written(stats, "impute-stats")
+    kept = written(stats, what)
     size = F.lit(8 * len(kept.columns) + 32)
     for c, t in kept.dtypes:
         if t.startswith("array"):
-            size = size + F.aggregate(c, F.lit(0), lambda a, x: a + F.coalesce(F.octet_length(x["word"]), F.lit(0)) + F.coalesce(F.octet_length(x["say"]), F.lit(0)) + 48)
+            size = size + F.aggregate(c, F.lit(0), lambda a, x: a + F.coalesce(F.octet_length(x["say"]), F.lit(0)) + 48)
     return kept, (kept.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Number], words: Sequence[Word], components: int = 3, max_levels: int = 500, only_filled: bool = False) -> DataFrame:
+def _hinted(stats: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(stats) if small else stats
+
+
+def _modes(lists: pa.Array, wanted: np.ndarray, r: np.ndarray, model: Mixture, field: int) -> pa.Array:
+    """For each wanted row the word of its list with the largest posterior, as most often spelled; NULL for the others.  r has the rows' class probabilities."""
+    offsets = lists.offsets.to_numpy()
+    length = np.where(wanted, np.diff(offsets), 0)
+    row = np.repeat(np.arange(len(lists)), length)
+    at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(offsets[:-1], length)
+    code, k = lists.values.field("code").to_numpy()[at], lists.values.field("k").to_numpy()[at]
+    theta = model.words[field]
+    prior = model.weight @ theta
+    score = k * (np.einsum("rc,rc->r", r[row], theta.T[code])) / prior[code]
+    order = np.lexsort((np.arange(len(row)), score, row))
+    last = order[np.flatnonzero(np.r_[row[order][1:] != row[order][:-1], True])] if len(row) else order
+    pick = np.full(len(lists), -1, np.int64)
+    pick[row[last]] = at[last]
+    return lists.values.field("say").take(pa.array(pick, mask=pick < 0))
+
+
+def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Number], words: Sequence[Word], components: int = 3, max_levels: int = 65536, only_filled: bool = False, helpers: Sequence[str] = ()) -> DataFrame:
     """(row, then per field: the field with its missing cells filled, and <field>_filled).
 
     A number can be filled if its group has usable values both on an earlier and on a later
     day; a word, if its group (or its day) has a usable one.  All else that has no usable value
     becomes NULL with <field>_filled false.  Filled words are in the spelling most frequent in
     their group or on their day; usable cells stay as they are.  Rows with a NULL group or time have no peers there and
-    nothing filled from them.  Repeated rows count each.  Other columns are ignored; an empty
-    table gives an empty result.  Words beyond the ``max_levels`` most frequent of a field share
-    one level in the mixture (not in the counts of their group).  With only_filled, rows
+    nothing filled from them.  Repeated rows count each.  ``helpers`` are further numeric columns that the mixture may learn from and that are not filled.
+    Other columns are ignored; an empty table gives an empty result.  Words beyond the ``max_levels`` most frequent of a field share
+    one class-wise frequency in the mixture; their counts in the group, which are the prior, stay their own.  With only_filled, rows
     without a filled cell are left out.
     """
     g, t = F.col(group), F.unix_date(F.col(time).cast("date"))
+    modelled = [*[n.model() for n in numbers], *[finite(h) for h in helpers]]
     base = df.select(
         F.col(row).alias("row"), g.alias("g"), t.alias("t"),
-        *[F.col(n.name).cast("double").alias(f"raw{j}") for j, n in enumerate(numbers)], *[n.model().alias(f"y{j}") for j, n in enumerate(numbers)],
+        *[F.col(n.name).cast("double").alias(f"raw{j}") for j, n in enumerate(numbers)], *[m.alias(f"y{j}") for j, m in enumerate(modelled)],
         *[F.col(w.name).alias(f"say{i}") for i, w in enumerate(words)], *[w.usable().alias(f"c{i}") for i, w in enumerate(words)],
     )
     by = {"group": "g", "time": "t"}
-    nums = range(len(numbers))
+    nums, every, fields = range(len(numbers)), range(len(modelled)), range(len(words))
+    if any(len([w for w in words if w.by == b]) > 1 for b in by):
+        raise ValueError("at most one word field by group and one by time")
 
-    # one small row per group, and one per day
+    # one pass for the groups, one for the days: counts by spelling, from which all that follows comes
     def counted(key: str) -> DataFrame:
-        mine = [i for i, w in enumerate(words) if by[w.by] == key]
-        if len(mine) > 1:
-            raise ValueError("at most one word field by group and one by time")
-        y = [c for j in nums for c in (F.count(f"y{j}").alias(f"n{j}"), F.sum(f"y{j}").alias(f"s{j}"), F.min(F.when(F.col(f"y{j}").isNotNull(), F.col("t"))).alias(f"lo{j}"), F.max(F.when(F.col(f"y{j}").isNotNull(), F.col("t"))).alias(f"hi{j}"))] if key == "g" else []
-        parts = base.where(F.col(key).isNotNull()).groupBy(key, *[f"c{i}" for i in mine], *[f"say{i}" for i in mine]).agg(F.count(F.lit(1)).alias("k"), *y)
-        y_out = [c for j in nums for c in (F.sum(f"n{j}").alias(f"n{j}"), F.sum(f"s{j}").alias(f"s{j}"), F.min(f"lo{j}").alias(f"lo{j}"), F.max(f"hi{j}").alias(f"hi{j}"))] if key == "g" else []
-        lists = [F.collect_list(F.when(F.col(f"c{i}").isNotNull(), F.struct(F.col(f"c{i}").alias("word"), F.col(f"say{i}").alias("say"), "k"))).alias(f"words{i}") for i in mine]
-        return parts.groupBy(key).agg(*y_out, *lists) if y_out or lists else parts.select(key).distinct()
-
-    groups, small_g = _sized(counted("g"))
-    days, small_t = _sized(counted("t"))
-    joined = base.join(F.broadcast(groups) if small_g else groups, "g", "left").join(F.broadcast(days) if small_t else days, "t", "left")
-    z = [F.when(F.col(f"n{j}") > 0, F.col(f"y{j}") - F.col(f"s{j}") / F.col(f"n{j}")).alias(f"z{j}") for j in nums]
-
-    # the words of the mixture, most frequent first
-    vocab = []
+        mine = [i for i in fields if by[words[i].by] == key]
+        y = [x for j in every for x in (F.count(f"y{j}").alias(f"n{j}"), F.sum(f"y{j}").alias(f"s{j}"))] if key == "g" else []
+        y += [x for j in nums for x in (F.min(F.when(F.col(f"y{j}").isNotNull(), F.col("t"))).alias(f"lo{j}"), F.max(F.when(F.col(f"y{j}").isNotNull(), F.col("t"))).alias(f"hi{j}"))] if key == "g" else []
+        return written(base.where(F.col(key).isNotNull()).groupBy(key, *[f"{x}{i}" for i in mine for x in ("c", "say")]).agg(F.count(F.lit(1)).alias("k"), *y), "impute-counts")
+
+    parts = {key: counted(key) for key in by.values()}
+    sums = parts["g"].groupBy("g").agg(*[F.sum(f"{x}{j}").alias(f"{x}{j}") for j in every for x in ("n", "s")], *[f(f"{x}{j}").alias(f"{x}{j}") for j in nums for f, x in ((F.min, "lo"), (F.max, "hi"))]) if modelled else parts["g"].select("g").distinct()
+    groups, small_g = _sized(sums, "impute-groups")
+    z = [F.when(F.col(f"n{j}") > 0, F.col(f"y{j}") - F.col(f"s{j}") / F.col(f"n{j}")).alias(f"z{j}") for j in every]
+
+    # the words of the mixture, most frequent first, told by a hash: at most max_levels rows of 12 bytes
+    levels, vocab, counts = [], [], []
     for i, w in enumerate(words):
-        source = groups if w.by == "group" else days
-        top = source.select(F.explode(f"words{i}").alias("x")).groupBy("x.word").agg(F.sum("x.k").alias("k")).orderBy(F.desc("k"), "word").limit(max_levels).collect()
-        vocab.append({r["word"]: n for n, r in enumerate(top)})
-    code = lambda i: F.when(F.col(f"c{i}").isNotNull(), F.coalesce(F.create_map(*[F.lit(x) for kv in vocab[i].items() for x in kv])[F.col(f"c{i}")], F.lit(len(vocab[i])))) if vocab[i] else F.lit(None).cast("int")
-    compact = written(joined.select(*z, *[code(i).cast("int").alias(f"w{i}") for i in range(len(words))]), "impute-rows")
-    model = fit_mixture(compact, len(numbers), [len(v) + 1 for v in vocab], components)
+        key = by[w.by]
+        per = parts[key].where(f"c{i} is not null").groupBy(key, f"c{i}", f"say{i}").agg(F.sum("k").alias("k")).groupBy(key, f"c{i}").agg(F.sum("k").alias("k"), F.max_by(f"say{i}", F.struct("k", f"say{i}")).alias("say"))
+        per = per.select(key, F.xxhash64(f"c{i}").alias("h"), "k", "say")
+        top = per.groupBy("h").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "h").limit(max_levels).select("h").toArrow()["h"].to_pylist()
+        vocab.append(df.sparkSession.createDataFrame([(h, n) for n, h in enumerate(top)], f"h long, w{i} int"))
+        levels.append(len(top) + 1)
+        counts.append(per)
+
+    def coded(rows: DataFrame) -> DataFrame:
+        for i in fields:
+            rows = rows.withColumn("h", F.xxhash64(f"c{i}")).join(F.broadcast(vocab[i]), "h", "left").drop("h")
+            rows = rows.withColumn(f"w{i}", F.when(F.col(f"c{i}").isNotNull(), F.coalesce(f"w{i}", F.lit(levels[i] - 1))))
+        return rows
+
+    compact = coded(base.join(_hinted(groups, small_g), "g", "left")).select(*z, *[f"w{i}" for i in fields], F.xxhash64("row", "g", "t", *[f"y{j}" for j in every]).alias("u"))
+    model = fit_mixture(written(compact, "impute-rows"), len(modelled), levels, components)
+
+    # of each group's or day's words those that some mixture of the classes can make the mode
+    def contenders(i: int) -> DataFrame:
+        key, theta = by[words[i].by], model.words[i]
+        ratio = theta / (model.weight @ theta)
+        bounds = pa.table({"w": pa.array(np.arange(levels[i]), pa.int32()), "least": ratio.min(axis=0), "most": ratio.max(axis=0)})
+        per = counts[i].join(F.broadcast(vocab[i]), "h", "left").withColumn("w", F.coalesce(f"w{i}", F.lit(levels[i] - 1))).join(F.broadcast(df.sparkSession.createDataFrame(bounds.to_pandas())), "w")
+        bar = per.groupBy(key).agg(F.max(F.col("k") * F.col("least")).alias("bar"), F.max(F.when(F.col("w") == levels[i] - 1, F.col("k"))).alias("rest"))
+        per = per.join(bar, key).where((F.col("k") * F.col("most") >= F.col("bar")) & ((F.col("w") < levels[i] - 1) | (F.col("k") == F.col("rest"))))
+        # of the words without a class of their own only the most frequent ones are left, one by spelling
+        one = per.groupBy(key, "w", F.when(F.col("w") < levels[i] - 1, F.col("h")).alias("h")).agg(F.max(F.struct("k", "say")).alias("x"))
+        return one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("x.say").alias("say"), F.col("w").cast("int").alias("code"), F.col("x.k").alias("k")))).alias(f"words{i}"))
 
     can = [F.col(f"y{j}").isNull() & F.coalesce((F.col(f"lo{j}") < F.col("t")) & (F.col(f"hi{j}") > F.col("t")), F.lit(False)) for j in nums]
-    can_w = [F.col(f"c{i}").isNull() & F.coalesce(F.size(f"words{i}") > 0, F.lit(False)) for i in range(len(words))]
-    need = joined
+    can_w = [F.col(f"c{i}").isNull() & F.coalesce(F.size(f"words{i}") > 0, F.lit(False)) for i in fields]
+    lacks, some = F.lit(False), F.lit(False)
+    for c in [*[F.col(f"y{j}").isNull() for j in nums], *[F.col(f"c{i}").isNull() for i in fields]]:
+        lacks = lacks | c
+    for c in [*can, *can_w]:
+        some = some | c
+    need = (base.where(lacks) if only_filled else base).join(_hinted(groups, small_g), "g", "left")
+    for i, w in enumerate(words):
+        need = need.join(_hinted(*_sized(contenders(i), "impute-words")), by[w.by], "left")
     if only_filled:
-        some = F.lit(False)
-        for c in [*can, *can_w]:
-            some = some | c
-        need = joined.where(some)
-    need = need.select(
+        need = need.where(some)
+    need = coded(need).select(
         "row", *[f"raw{j}" for j in nums], *[F.col(f"y{j}") for j in nums], *z, *[F.when(F.col(f"n{j}") > 0, F.col(f"s{j}") / F.col(f"n{j}")).alias(f"m{j}") for j in nums], *[c.alias(f"can{j}") for j, c in enumerate(can)],
-        *[F.col(f"say{i}") for i in range(len(words))], *[F.col(f"c{i}").isNotNull().alias(f"has{i}") for i in range(len(words))], *[code(i).cast("int").alias(f"w{i}") for i in range(len(words))], *[c.alias(f"canw{i}") for i, c in enumerate(can_w)], *[F.col(f"words{i}") for i in range(len(words))],
+        *[F.when(F.col(f"c{i}").isNotNull(), F.col(f"say{i}")).alias(f"say{i}") for i in fields], *[f"w{i}" for i in fields], *[c.alias(f"canw{i}") for i, c in enumerate(can_w)], *[F.when(c, F.col(f"words{i}")).alias(f"words{i}") for i, c in enumerate(can_w)],
     )
     kind = df.schema[row].dataType.simpleString()
-    schema = f"row {kind}, " + ", ".join([f"n{j} double, fn{j} boolean" for j in nums] + [f"t{i} string, ft{i} boolean" for i in range(len(words))])
-    logs = [n.log for n in numbers]
+    schema = f"row {kind}, " + ", ".join([f"n{j} double, fn{j} boolean" for j in nums] + [f"t{i} string, ft{i} boolean" for i in fields])
+    logs = np.array([n.log for n in numbers], bool)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag = lambda b, n: np.asarray(b[n].to_numpy(zero_copy_only=False), bool)
         for b in batches:
             if not b.num_rows:
                 continue
-            zs = _matrix(b, [f"z{j}" for j in nums])
-            ws = [np.asarray(b[f"w{i}"].fill_null(-1).to_numpy(zero_copy_only=False)).astype(np.int64) for i in range(len(words))]
+            zs, ws = _matrix(b, [f"z{j}" for j in every]), _codes(b, [f"w{i}" for i in fields])
             groups = patterns(zs)
             lj = model.log_joint(zs, ws, groups)
             r = np.exp(lj - lj.max(axis=1, keepdims=True))
             r /= r.sum(axis=1, keepdims=True)
             out = [b["row"]]
-            middle = np.zeros_like(zs)
+            middle = np.zeros((len(zs), len(numbers)))
             if len(logs):
                 m = _matrix(b, [f"m{j}" for j in nums])
                 for c in range(len(model.weight)):
@@ -299,29 +373,17 @@ def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Num
                     left = np.zeros_like(full)
                     for rows, cov in rest:
                         left[rows] = np.diag(cov)
+                    full, left = full[:, : len(logs)], left[:, : len(logs)]
                     middle += r[:, [c]] * np.where(logs, np.exp(np.clip(full + m + left / 2, -700, 700)), full + m)
             for j in nums:
                 can_j = flag(b, f"can{j}")
                 raw, y = (np.asarray(b[n].fill_null(float("nan")).to_numpy(zero_copy_only=False)) for n in (f"raw{j}", f"y{j}"))
                 value = np.where(np.isfinite(y), raw, np.where(can_j, middle[:, j], np.nan))
                 out += [pa.array(value, mask=np.isnan(value)), pa.array(can_j & np.isfinite(value))]
-            for i in range(len(words)):
-                say, has, can_i = b[f"say{i}"].to_pylist(), flag(b, f"has{i}"), flag(b, f"canw{i}")
-                # posterior of a word: its count in the group or on the day, times what the row's class makes of it
-                share = r @ model.words[i]
-                prior = model.weight @ model.words[i]
-                lists = b[f"words{i}"]
-                result = [s if h else None for s, h in zip(say, has)]
-                for at in np.flatnonzero(can_i):
-                    score, spell = {}, {}
-                    for x in lists[int(at)].as_py():
-                        score[x["word"]] = score.get(x["word"], 0) + x["k"]
-                        spell[x["word"]] = max(spell.get(x["word"], (0, "")), (x["k"], x["say"]))
-                    code_of = {w: vocab[i].get(w, len(vocab[i])) for w in score}
-                    best = max(score, key=lambda w: (score[w] * share[at, code_of[w]] / prior[code_of[w]], w))
-                    result[at] = spell[best][1]
-                out += [pa.array(result, pa.string()), pa.array(can_i)]
-            yield pa.RecordBatch.from_arrays(out, names=["row", *[x for j in nums for x in (f"n{j}", f"fn{j}")], *[x for i in range(len(words)) for x in (f"t{i}", f"ft{i}")]])
+            for i in fields:
+                can_i = flag(b, f"canw{i}")
+                out += [pa.compute.coalesce(b[f"say{i}"], _modes(b[f"words{i}"], can_i, r, model, i)), pa.array(can_i)]
+            yield pa.RecordBatch.from_arrays(out, names=["row", *[x for j in nums for x in (f"n{j}", f"fn{j}")], *[x for i in fields for x in (f"t{i}", f"ft{i}")]])
 
     done = need.mapInArrow(fill, schema)
     cols = [c for j, n in enumerate(numbers) for c in (F.col(f"n{j}").alias(n.name), F.col(f"fn{j}").alias(f"{n.name}_filled"))]

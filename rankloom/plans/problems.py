@@ -64,15 +64,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NUMBERS = (Number("vol_20", 0.0, 1.0, log=True), Number("log_dollar_volume", 0.0, 50.0))
+HELPERS = ("log_ret", "dist_sma_20")
 WORDS = (Word("sector", "group"), Word("regime", "time"))
 
 
 def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
-    return impute(table(spark, sf, "features"), "row_id", "security_id", "date", NUMBERS, WORDS)
+    return impute(table(spark, sf, "features"), "row_id", "security_id", "date", NUMBERS, WORDS, helpers=HELPERS)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    r = impute(table(spark, sf, "features"), "row_id", "security_id", "date", NUMBERS, WORDS, only_filled=True)
+    r = impute(table(spark, sf, "features"), "row_id", "security_id", "date", NUMBERS, WORDS, only_filled=True, helpers=HELPERS)
     fields = [x.name for x in (*NUMBERS, *WORDS)]
     cells = F.explode(F.array_compact(F.array(*[F.when(F.col(f"{c}_filled"), F.lit(c)) for c in fields])))
     return r.select("row_id", cells.alias("field"))
