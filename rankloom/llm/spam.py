@@ -86,7 +86,6 @@ def tokens(texts: list[str]) -> Tokens:
         if "<" in t:
             t = _TAGS.sub(lambda m: ("\x01" if _ANCHOR.match(m[0]) else " ") * len(m[0]), t)
         prepared.append(t.encode("utf-8", "replace"))
-    bounds = np.cumsum([0, *[len(p) + 1 for p in prepared]])
     data = np.frombuffer(b"\x00".join(prepared) + b"\x00", np.uint8)
     kind = _KIND[data]
     group = np.where((kind >= 1) & (kind <= 3), 1, kind)
@@ -117,7 +116,7 @@ def tokens(texts: list[str]) -> Tokens:
     named = word & (_TOUCH[data[np.maximum(start - 1, 0)]] | _TOUCH[data[np.minimum(end, len(data) - 1)]])
     cls[named] = CODE
     word &= ~tag & ~named
-    return Tokens(np.searchsorted(bounds, start, side="right") - 1, cls, word, n.astype(np.int32), tx.codes(_LOWER[data], start, end), len(texts))
+    return Tokens(total(data == 0)[start].astype(np.int64), cls, word, n.astype(np.int32), tx.codes(_LOWER[data], start, end), len(texts))
 
 
 def _said_before(key: np.ndarray, window: int) -> np.ndarray:
@@ -217,8 +216,8 @@ class Model:
         self.classes = c = FIRST_WORD + len(learned)
         order = np.argsort(key)
         self.tri, self.tri_n = key[order], n[order].astype(float)
-        self.pair, self.pair_n = _sums(self.tri % (c * c), self.tri_n)
-        self.front, self.front_n = _sums(self.tri // c, self.tri_n)
+        self.pair = np.bincount(self.tri % (c * c), self.tri_n, minlength=c * c)  # by the number of the pair: classes squared, 8 MB each
+        self.front = np.bincount(self.tri // c, self.tri_n, minlength=c * c)
         self.one = np.bincount(self.tri % c, self.tri_n, minlength=c)
         self.lead = np.bincount(self.tri // c % c, self.tri_n, minlength=c)
         a, b, k = self.tri // (c * c), self.tri // c % c, self.tri % c
@@ -232,9 +231,9 @@ class Model:
     def log_prob(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Natural log of the probability of class c after a and b."""
         p1 = (self.one[c] + 0.5) / (self.one.sum() + 0.5 * self.classes)
-        p2 = (_lookup(self.pair, self.pair_n, b * self.classes + c) + 5 * p1) / (self.lead[b] + 5)
+        p2 = (self.pair[b * self.classes + c] + 5 * p1) / (self.lead[b] + 5)
         p3 = _lookup(self.tri, self.tri_n, (a * self.classes + b) * self.classes + c)
-        return np.log((p3 + 5 * p2) / (_lookup(self.front, self.front_n, a * self.classes + b) + 5))
+        return np.log((p3 + 5 * p2) / (self.front[a * self.classes + b] + 5))
 
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(share of characters in words, links and tags of abnormal perplexity, log perplexity) per text; 0 for an empty text."""
