@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from rankloom.registry import register
 
 
+TARGETS = ("zscore", "raw")  # what the squared error is measured against: labels of the day standardised, or as they are
+
+
 @register("loss", "hybrid_hinge")
 def hybrid_hinge(df: DataFrame, margin: float = 0.1, decile: float = 0.1, lambda_mse: float = 1.0, target: str = "zscore") -> DataFrame:
     """(date, loss): mean hinge over all pairs of the day's top and bottom labels, plus lambda times the mean squared error.
@@ -16,8 +19,8 @@ def hybrid_hinge(df: DataFrame, margin: float = 0.1, decile: float = 0.1, lambda
     The pairs are not formed: with both tails in order of score, the sum over the pairs of a long
     is a count and a sum of the shorts that lie within the margin below it - two running sums.
     """
-    if target not in ("zscore", "raw"):
-        raise ValueError("target must be 'zscore' or 'raw'")
+    if target not in TARGETS:
+        raise ValueError(f"no target {target!r}; there are {', '.join(TARGETS)}")
     day = W.partitionBy("date")
     rows = df.where("score is not null and label is not null").select("date", "security_id", "score", "label", F.count(F.lit(1)).over(day).alias("n")).where("n >= 2")
     y = (F.col("label") - F.avg("label").over(day)) / (F.stddev_samp("label").over(day) + F.lit(1e-8)) if target == "zscore" else F.col("label")
@@ -46,6 +49,13 @@ def neg_pearson_rank(df: DataFrame) -> DataFrame:
     return rows.groupBy("date").agg((-(cross / (ss * rr + F.lit(1e-8)))).alias("loss"), n.alias("n")).where("n >= 2").select("date", "loss")
 
 
+@register("loss", "squared_error")
+def squared_error(df: DataFrame) -> DataFrame:
+    """(date, loss): mean squared distance of the score from the label."""
+    rows = df.where("score is not null and label is not null").groupBy("date").agg(F.avg((F.col("score") - F.col("label")) ** 2).alias("loss"), F.count(F.lit(1)).alias("n"))
+    return rows.where("n >= 2").select("date", "loss")
+
+
 def mean_loss(days: DataFrame) -> DataFrame:
     return days.agg(F.avg("loss").alias("value"))
 

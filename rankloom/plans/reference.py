@@ -123,7 +123,7 @@ def feat_raw(spark, sf):
 
 @query
 def ind_equal_weight_return(spark, sf):
-    return _round(ft.equal_weight_return(panel(spark, sf)))
+    return _round(panel(spark, sf).groupBy("date").agg(ft.equal_weight_return().alias("value")))
 
 
 @query
@@ -427,7 +427,7 @@ def neutral_deciles(spark, sf):
 
 def _with_market(spark, sf):
     p = panel(spark, sf)
-    m = ft.equal_weight_return(p).withColumnRenamed("value", "mkt")
+    m = p.groupBy("date").agg(ft.equal_weight_return().alias("mkt"))
     return rs.simple_returns(p).where("log_ret is not null").join(F.broadcast(m), "date")
 
 
