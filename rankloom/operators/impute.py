@@ -38,7 +38,7 @@ from rankloom.session import finite, written
 
 # fixed values: notations of a missing word, after trimming and lower-casing
 MISSING_WORDS = ("", "n/a", "na", "#n/a", "none", "null", "nil", "nan", "unknown", "?", "-", "--", ".")
-BLANKS = "\t\n\r\x0b\x0c\u00a0\u200b\u2007\u202f\ufeff"
+BLANKS = " \t\n\r\x0b\x0c\u00a0\u200b\u2007\u202f\ufeff"
 BROADCAST_BYTES = 48 << 20
 
 
@@ -69,7 +69,7 @@ class Word:
     missing: Sequence[str] = MISSING_WORDS
 
     def usable(self) -> Column:
-        v = F.lower(F.trim(F.translate(F.col(self.name), BLANKS, " " * len(BLANKS))))
+        v = F.lower(F.btrim(F.col(self.name), F.lit(BLANKS)))
         return F.when(~v.isin(*self.missing), v)
 
 
@@ -319,8 +319,16 @@ def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Num
             rows = rows.withColumn(f"w{i}", F.when(F.col(f"c{i}").isNotNull(), F.coalesce(f"w{i}", F.lit(levels[i] - 1))))
         return rows
 
-    compact = coded(base.join(_hinted(groups, small_g), "g", "left")).select(*z, *[f"w{i}" for i in fields], F.xxhash64("row", "g", "t", *[f"y{j}" for j in every]).alias("u"))
-    model = fit_mixture(written(compact, "impute-rows"), len(modelled), levels, components)
+    # the rows with all that the later steps need, written once; the passes of EM read z and w alone
+    can = [F.col(f"y{j}").isNull() & F.coalesce((F.col(f"lo{j}") < F.col("t")) & (F.col(f"hi{j}") > F.col("t")), F.lit(False)) for j in nums]
+    compact = written(
+        coded(base.join(_hinted(groups, small_g), "g", "left")).select(
+            "row", "g", "t", *[F.when(F.col(f"y{j}").isNotNull(), F.col(f"raw{j}")).alias(f"raw{j}") for j in nums], *z, *[F.when(F.col(f"n{j}") > 0, F.col(f"s{j}") / F.col(f"n{j}")).alias(f"m{j}") for j in nums], *[c.alias(f"can{j}") for j, c in enumerate(can)],
+            *[F.when(F.col(f"c{i}").isNotNull(), F.col(f"say{i}")).alias(f"say{i}") for i in fields], *[f"w{i}" for i in fields], F.xxhash64("row", "g", "t", *[f"y{j}" for j in every]).alias("u"),
+        ),
+        "impute-rows",
+    )
+    model = fit_mixture(compact, len(modelled), levels, components)
 
     # of each group's or day's words those that some mixture of the classes can make the mode
     def contenders(i: int) -> DataFrame:
@@ -334,22 +342,20 @@ def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Num
         one = per.groupBy(key, "w", F.when(F.col("w") < levels[i] - 1, F.col("h")).alias("h")).agg(F.max(F.struct("k", "say")).alias("x"))
         return one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("x.say").alias("say"), F.col("w").cast("int").alias("code"), F.col("x.k").alias("k")))).alias(f"words{i}"))
 
-    can = [F.col(f"y{j}").isNull() & F.coalesce((F.col(f"lo{j}") < F.col("t")) & (F.col(f"hi{j}") > F.col("t")), F.lit(False)) for j in nums]
-    can_w = [F.col(f"c{i}").isNull() & F.coalesce(F.size(f"words{i}") > 0, F.lit(False)) for i in fields]
-    lacks, some = F.lit(False), F.lit(False)
-    for c in [*[F.col(f"y{j}").isNull() for j in nums], *[F.col(f"c{i}").isNull() for i in fields]]:
+    wordless = [F.col(f"w{i}").isNull() for i in fields]
+    lacks = F.lit(False)
+    for c in [*[F.col(f"can{j}") for j in nums], *wordless]:
         lacks = lacks | c
-    for c in [*can, *can_w]:
-        some = some | c
-    need = (base.where(lacks) if only_filled else base).join(_hinted(groups, small_g), "g", "left")
+    need = compact.where(lacks) if only_filled else compact
     for i, w in enumerate(words):
         need = need.join(_hinted(*_sized(contenders(i), "impute-words")), by[w.by], "left")
+    can_w = [c & F.coalesce(F.size(f"words{i}") > 0, F.lit(False)) for i, c in enumerate(wordless)]
     if only_filled:
+        some = F.lit(False)
+        for c in [*[F.col(f"can{j}") for j in nums], *can_w]:
+            some = some | c
         need = need.where(some)
-    need = coded(need).select(
-        "row", *[f"raw{j}" for j in nums], *[F.col(f"y{j}") for j in nums], *z, *[F.when(F.col(f"n{j}") > 0, F.col(f"s{j}") / F.col(f"n{j}")).alias(f"m{j}") for j in nums], *[c.alias(f"can{j}") for j, c in enumerate(can)],
-        *[F.when(F.col(f"c{i}").isNotNull(), F.col(f"say{i}")).alias(f"say{i}") for i in fields], *[f"w{i}" for i in fields], *[c.alias(f"canw{i}") for i, c in enumerate(can_w)], *[F.when(c, F.col(f"words{i}")).alias(f"words{i}") for i, c in enumerate(can_w)],
-    )
+    need = need.select("row", *[f"raw{j}" for j in nums], *[f"z{j}" for j in every], *[f"m{j}" for j in nums], *[f"can{j}" for j in nums], *[f"say{i}" for i in fields], *[f"w{i}" for i in fields], *[c.alias(f"canw{i}") for i, c in enumerate(can_w)], *[F.when(c, F.col(f"words{i}")).alias(f"words{i}") for i, c in enumerate(can_w)])
     kind = df.schema[row].dataType.simpleString()
     schema = f"row {kind}, " + ", ".join([f"n{j} double, fn{j} boolean" for j in nums] + [f"t{i} string, ft{i} boolean" for i in fields])
     logs = np.array([n.log for n in numbers], bool)
@@ -377,8 +383,8 @@ def impute(df: DataFrame, row: str, group: str, time: str, numbers: Sequence[Num
                     middle += r[:, [c]] * np.where(logs, np.exp(np.clip(full + m + left / 2, -700, 700)), full + m)
             for j in nums:
                 can_j = flag(b, f"can{j}")
-                raw, y = (np.asarray(b[n].fill_null(float("nan")).to_numpy(zero_copy_only=False)) for n in (f"raw{j}", f"y{j}"))
-                value = np.where(np.isfinite(y), raw, np.where(can_j, middle[:, j], np.nan))
+                raw = np.asarray(b[f"raw{j}"].fill_null(float("nan")).to_numpy(zero_copy_only=False))
+                value = np.where(can_j, middle[:, j], raw)
                 out += [pa.array(value, mask=np.isnan(value)), pa.array(can_j & np.isfinite(value))]
             for i in fields:
                 can_i = flag(b, f"canw{i}")
