@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,9 +62,10 @@ def mean_loss(days: DataFrame) -> DataFrame:
     return days.agg(F.avg("loss").alias("value"))
 
 
-def validation_ic(df: DataFrame) -> DataFrame:
-    """(value): mean over days of the correlation of ordinal ranks; days with fewer than two names or no spread are left out; 0 if none."""
-    day = W.partitionBy("date")
-    rows = df.where("score is not null and label is not null").select("date", F.row_number().over(day.orderBy("score", "security_id")).cast("double").alias("a"), F.row_number().over(day.orderBy("label", "security_id")).cast("double").alias("b"))
-    per = rows.groupBy("date").agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("ic"))
-    return per.agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("value"))
+def validation_ic(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., value): mean over days of the correlation of ordinal ranks; days with fewer than two names or no spread are left out; 0 if none."""
+    key = [*by, "date"]
+    day = W.partitionBy(*key)
+    rows = df.where("score is not null and label is not null").select(*key, F.row_number().over(day.orderBy("score", "security_id")).cast("double").alias("a"), F.row_number().over(day.orderBy("label", "security_id")).cast("double").alias("b"))
+    per = rows.groupBy(*key).agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("ic"))
+    return per.groupBy(*by).agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("value"))

@@ -59,3 +59,8 @@ def table_parts(spec: Spec, files: Files) -> dict[str, dict[str, Any]]:
 
 def table_hashes(spec: Spec, files: Files) -> dict[str, str]:
     return {t: digest(p) for t, p in table_parts(spec, files).items()}
+
+
+def plan_hashes(spec: Spec, files: Files) -> dict[str, str]:
+    """By what the tables are built, whatever the source's files hold."""
+    return {t: digest([(k, v) for k, v in sorted(p.items()) if k != "warehouse"]) for t, p in table_parts(spec, files).items()}

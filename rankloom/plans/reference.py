@@ -510,10 +510,49 @@ def series_alignment(spark, sf):
     return _round(a.join(b, "date", "full"))
 
 
+def _fitted(spark, sf, model, **training):
+    from rankloom.operators.models import Training, fit_folds
+
+    w = _windows(spark, sf, transforms=[{"func": "cs_zscore"}, {"func": "clip"}])
+    return fit_folds(w, NAMES, forward_return(panel(spark, sf), START, END), sp.PurgedWalkForward(**SPLIT), model, Training(min_valid_slots=MIN_STOCKS, **training))
+
+
 @query
 def model_walk_forward(spark, sf):
     """Out-of-sample scores of a linear ranking model under the purged walk-forward splits."""
-    from rankloom.operators.models import walk_forward
+    from rankloom.operators.models import WindowRidge
 
-    w = _windows(spark, sf, transforms=[{"func": "cs_zscore"}, {"func": "clip"}])
-    return _round(walk_forward(w, NAMES, forward_return(panel(spark, sf), START, END), sp.PurgedWalkForward(**SPLIT), min_valid=MIN_STOCKS))
+    return _round(_fitted(spark, sf, WindowRidge())[0])
+
+
+@query
+def model_inner_search(spark, sf):
+    """The same with the penalty chosen by a purged split of the training days alone."""
+    from rankloom.operators.models import WindowRidge
+
+    return _round(_fitted(spark, sf, WindowRidge([0.001, 0.1, 10.0], search="inner"))[0])
+
+
+@query
+def ranker_walk_forward(spark, sf):
+    """Out-of-sample scores of the set ranker, trained by the rank correlation."""
+    from rankloom.operators.models import SetRanker
+
+    return _round(_fitted(spark, sf, SetRanker(8), loss="neg_pearson_rank", max_epochs=3, lr=0.01)[0])
+
+
+@query
+def ranker_invariance(spark, sf):
+    """(change, largest_difference): what becomes of the scores when slots are shuffled, and when pads hold other values."""
+    from rankloom.operators.models import SetRanker, summaries
+
+    fitted = _fitted(spark, sf, SetRanker(8), loss="neg_pearson_rank", max_epochs=1, lr=0.01)[1]
+    long = _windows(spark, sf, transforms=[{"func": "cs_zscore"}, {"func": "clip"}])
+    score = lambda df: fitted.score(summaries(df, NAMES)).select("date", "security_id", "score")
+    shuffled = long.withColumn("slot", F.pmod(F.xxhash64("date", "security_id"), F.lit(1 << 30)).cast("int"))
+    filled = long.withColumns({n: F.when(F.col("real"), F.col(n)).otherwise(F.lit(9.0)) for n in NAMES})
+    base, out = score(long).withColumnRenamed("score", "base"), None
+    for name, other in (("pads", filled), ("slots", shuffled)):
+        d = base.join(score(other), ["date", "security_id"], "full").agg(F.max(F.coalesce(F.abs(F.col("base") - F.col("score")), F.lit(9.0))).alias("largest_difference")).select(F.lit(name).alias("change"), "largest_difference")
+        out = d if out is None else out.unionByName(d)
+    return _round(out)

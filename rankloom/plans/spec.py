@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import json
 import logging
 from dataclasses import dataclass
 from pathlib import Path
@@ -54,19 +53,32 @@ SECTIONS: dict[str, dict[str, Key] | Key] = {
     "split_spec": Key(dict, required=True),
     "train_spec": {
         "max_epochs": Key(int, 15, **positive), "batch_dates": Key(int, 32, **positive), "lr": Key(NUM, 1e-4, **positive), "weight_decay": Key(NUM, 1e-5, **not_negative), "lr_patience": Key(int, 3), "lr_factor": Key(NUM, 0.5), "monitor": Key(str, "val_ic", **one_of("val_ic", "val_loss")),
-        "early_stopping_patience": Key((int, type(None))), "min_valid_slots": Key(int, 20, check=lambda v: v >= 2, says="must be 2 or more"), "accelerator": Key(str, "auto"), "num_workers": Key(int, 0), "deterministic": Key(bool, True),
+        "early_stopping_patience": Key((int, type(None))), "min_valid_slots": Key(int, 20, check=lambda v: v >= 2, says="must be 2 or more"),
+        "accelerator": Key(str, "auto", **one_of("auto", "cpu")), "num_workers": Key(int, 0, **not_negative), "deterministic": Key(bool, True, check=lambda v: v, says="can't be false: fits are always reproducible"),
     },
     "evaluation_spec": {"metrics": Key(list, ())},
     "backtest_spec": Key(dict, {"func": "placeholder"}),
-    "tracking_spec": {"wandb": Key(dict, {})},
+    "tracking_spec": {"wandb": Key(dict, {}, check=lambda v: not v.get("enabled", False), says="can't be enabled: runs are recorded in their folders only")},
 }
 # (place in the spec, component kind); a trailing * marks a list
 PLACES = [("data_spec.source", "source"), ("feature_spec*", "feature"), ("filter_spec", "filter"), ("indicator_spec*", "indicator"), ("label_spec", "label"), ("window_spec.transforms*", "transform"), ("model_spec", "model"), ("loss_spec", "loss"), ("split_spec", "splitter"), ("evaluation_spec.metrics*", "metric"), ("backtest_spec", "backtest")]
 
 
+def _lines(thing: Any, at: str = "") -> list[str]:
+    """path = value, one per leaf, in order of the paths; days and other values by their text."""
+    if isinstance(thing, dict):
+        return [x for k in sorted(thing, key=str) for x in _lines(thing[k], f"{at}/{k}")] or [f"{at} = {{}}"]
+    if isinstance(thing, (list, tuple)):
+        return [x for n, v in enumerate(thing) for x in _lines(v, f"{at}/{n}")] or [f"{at} = []"]
+    return [f"{at} = {type(thing).__name__} {thing!s}"]
+
+
 def digest(thing: Any, size: int = 12) -> str:
     """The same for equal contents, whatever the order of keys."""
-    return hashlib.sha256(json.dumps(thing, sort_keys=True, default=str).encode()).hexdigest()[:size]
+    h = hashlib.blake2b(digest_size=32)
+    for line in _lines(thing):
+        h.update(f"{line}\n".encode())
+    return h.hexdigest()[:size]
 
 
 class Spec(dict):
@@ -136,6 +148,10 @@ def parse(data: dict) -> Spec:
                 registry.get(kind, c["func"])
             except KeyError as e:
                 errors.append(str(e.args[0]))
+    if not errors:
+        takes = getattr(registry.get("model", out["model_spec"]["func"]), "losses", None)
+        if takes is not None and out["loss_spec"]["func"] not in takes:
+            errors.append(f"loss_spec: {out['model_spec']['func']} can't be trained by {out['loss_spec']['func']}; it takes {', '.join(takes)}")
     if errors:
         raise ValueError("the spec has errors:\n  " + "\n  ".join(errors))
     purge, h = out["split_spec"]["kwargs"].get("purge"), out["label_spec"]["kwargs"].get("h")

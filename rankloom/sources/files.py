@@ -45,6 +45,18 @@ class Files:
         fs.delete(p, False)
         fs.rename(beside, p)
 
+    def claim(self, path: str) -> bool:
+        """Creates a file that must not exist yet; False if another was first."""
+        fs, p = self._at(path)
+        fs.mkdirs(p.getParent())
+        try:
+            fs.create(p, False).close()
+        except Exception:
+            if fs.exists(p):
+                return False
+            raise
+        return True
+
     def read_text(self, path: str) -> str:
         fs, p = self._at(path)
         stream = fs.open(p)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,17 +50,34 @@ def lineitem_weekly(spark: SparkSession, path: str, start: dt.date | str | None
     return bars
 
 
+FIELDS = ("date", "open", "high", "low", "close", "volume")
+
+
+def _by_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, content in zip(b["path"].to_pylist(), b["content"]):
+            if not content.as_py().strip():
+                continue
+            t = csv.read_csv(pa.BufferReader(content.as_buffer()), parse_options=csv.ParseOptions(invalid_row_handler=lambda r: "skip"), read_options=csv.ReadOptions(), convert_options=csv.ConvertOptions(strings_can_be_null=True))
+            found = {name.strip().lower().replace("\ufeff", ""): n for n, name in reversed(list(enumerate(t.column_names)))}  # the first of equal names
+            columns = [t.column(found[f]).cast(pa.string()) if f in found else pa.nulls(len(t), pa.string()) for f in FIELDS]
+            name = path.rsplit("/", 1)[-1].removesuffix(".csv")
+            for part in pa.table([pa.array([name] * len(t), pa.string()), *columns], names=["name", *FIELDS]).to_batches():
+                yield part
+
+
 @register("source", "ticker_csv")
-def ticker_csv(spark: SparkSession, path: str) -> DataFrame:
+def ticker_csv(spark: SparkSession, path: str, start: dt.date | str | None = None, end: dt.date | str | None = None) -> DataFrame:
     """One CSV file per ticker (date, open, high, low, close, volume), the ticker being the file's name.
 
-    Headers may differ in case and blanks between files only as far as their order stays the
-    same; rows that do not parse are dropped, and so are rows without any value.
+    Columns go by each file's own header, whatever its order, case, blanks and further columns; a file without one of the fields has NULL there.
+    What does not parse is NULL; rows without a date or without any value are dropped, empty files give nothing.  A file, at most a row a day, is parsed in one task.
     """
-    schema = "date date, open double, high double, low double, close double, volume double"
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED").option("ignoreLeadingWhiteSpace", True).csv(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?$", 1)
-    return raw.withColumn("ticker", F.regexp_replace(name, r"\.", "-")).dropna("all", subset=["open", "high", "low", "close", "volume"])
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
+    text = raw.mapInArrow(_by_header, ", ".join(f"{c} string" for c in ("name", *FIELDS)))
+    df = text.select(F.trim("date").try_cast("date").alias("date"), *[F.trim(c).try_cast("double").alias(c) for c in FIELDS[1:]], F.regexp_replace(F.url_decode("name"), r"\.", "-").alias("ticker"))
+    df = df.where("date is not null").dropna("all", subset=list(FIELDS[1:]))
+    return df if start is None or end is None else df.where(F.col("date").between(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")))
 
 
 @register("source", "factor_csv")

@@ -1,8 +1,7 @@
 """Immutable versions of named tables.
 
-A version <table>__<hash> is a folder of Parquet files.  It is written under a temporary name
-and renamed; its manifest entry, written last, makes it visible.  So a build that dies
-leaves nothing visible, readers need no lock, and writing the same hash again replaces the version.
+A version <table>__<hash> is a folder of Parquet files that its manifest entry, written last, names.  So a build that dies
+leaves nothing visible, readers need no lock, and writing the same hash again replaces the version without a time at which there is none.
 """
 
 from __future__ import annotations
@@ -36,19 +35,28 @@ class TableStore:
     def _entry(self, name: str) -> str:
         return f"{self.root}/_manifest/{name}.json"
 
-    def write(self, table: str, df: DataFrame, digest: str, config: dict[str, Any]) -> dict[str, Any]:
+    def write(self, table: str, df: DataFrame, digest: str, config: dict[str, Any], plan: str | None = None) -> dict[str, Any]:
+        """Writes a version; one that is there already is replaced for new readers, who find it by the manifest's entry.
+
+        Each write has a folder of its own, and the entry, replaced as one file, names it: whoever reads finds the old rows or the new ones.
+        Of two writers of the same version at a time the second one is refused.  ``plan`` is what the version was built by, without its source.
+        """
         name = version_name(table, digest)
-        part = f"{self.root}/_part/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(part)
-        stored = self.spark.read.parquet(part)
-        c = TABLES[table]
-        n, lo, hi = stored.agg(F.count(F.lit(1)), F.min(c), F.max(c)).first()  # from the files' footers
-        self.files.remove(self._entry(name))
-        self.files.remove(f"{self.root}/{name}")
-        if not self.files.move(part, f"{self.root}/{name}"):
-            raise OSError(f"{name} could not be moved to its place")
-        entry = {"table_name": table, "config_hash": digest, "n_rows": n, "min_date": str(lo) if lo else None, "max_date": str(hi) if hi else None, "built_at": dt.datetime.now(dt.timezone.utc).isoformat(), "config": config}
-        self.files.write_text(self._entry(name), json.dumps(entry, default=str))
+        lock = f"{self.root}/_locks/{name}"
+        if not self.files.claim(lock):
+            raise RuntimeError(f"{name} is being written by another; if that writer is dead, remove {lock}")
+        try:
+            folder = f"{name}-{uuid.uuid4().hex[:8]}"
+            df.write.parquet(f"{self.root}/{folder}")
+            c = TABLES[table]
+            n, lo, hi = self.spark.read.parquet(f"{self.root}/{folder}").agg(F.count(F.lit(1)), F.min(c), F.max(c)).first()  # reads one column
+            before = self.files.read_json(self._entry(name))["folder"] if self.has(table, digest) else None
+            entry = {"table_name": table, "config_hash": digest, "plan_hash": plan, "folder": folder, "n_rows": n, "min_date": str(lo) if lo else None, "max_date": str(hi) if hi else None, "built_at": dt.datetime.now(dt.timezone.utc).isoformat(), "config": config}
+            self.files.write_text(self._entry(name), json.dumps(entry, default=str))
+            if before:
+                self.files.remove(f"{self.root}/{before}")
+        finally:
+            self.files.remove(lock)
         return entry
 
     def versions(self, table: str | None = None) -> list[dict[str, Any]]:
@@ -63,10 +71,11 @@ class TableStore:
         name = version_name(table, digest)
         if not self.has(table, digest):
             raise FileNotFoundError(f"{self.root} holds no {name}")
-        df = self.spark.read.parquet(f"{self.root}/{name}")
+        df = self.spark.read.parquet(f"{self.root}/{self.files.read_json(self._entry(name))['folder']}")
         return df.where(where) if where else df
 
     def drop(self, table: str, digest: str) -> None:
         name = version_name(table, digest)
+        folder = self.files.read_json(self._entry(name))["folder"]
         self.files.remove(self._entry(name))  # invisible first
-        self.files.remove(f"{self.root}/{name}")
+        self.files.remove(f"{self.root}/{folder}")

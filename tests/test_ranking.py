@@ -12,6 +12,7 @@ from rankloom.operators import backtest as bt
 from rankloom.operators import losses, metrics, research
 from rankloom.operators.features import build_features, build_market
 from rankloom.operators.labels import forward_return
+from rankloom.operators import models, ranker
 from rankloom.operators.models import attribution, sample_days, surrogate_fidelity
 from rankloom.operators.splits import BurnInWalkForward, PurgedWalkForward, assign
 from rankloom.operators.universe import slots_by_day, topk_dollar_volume
@@ -387,6 +388,88 @@ def test_explanations(spark):
     assert few.count() == 15 and few.exceptAll(sample_days(df, 3, 5)).count() == 0
 
 
+# ---------------------------------------------------------------- models
+
+
+def model_rows(spark, days=80, names=14, seed=0):
+    """(windows in long form, labels): the label follows the last value of a, relative to the day's mean."""
+    rng = np.random.default_rng(seed)
+    long, labels = [], []
+    for d in range(days):
+        x = rng.normal(size=(names, 3, 2)) + rng.normal()
+        for s in range(names):
+            for lag in range(3):
+                long.append((day(d), d, s, 100 + s, lag, True, float(x[s, lag, 0]), float(x[s, lag, 1])))
+            labels.append((day(d), 100 + s, float(x[s, 2, 0] - x[:, 2, 0].mean() + 0.1 * rng.normal())))
+    w = spark.createDataFrame(long, "date date, day_idx int, slot int, security_id long, lag int, real boolean, a double, b double")
+    return w, spark.createDataFrame(labels, "date date, security_id long, label double")
+
+
+def test_set_scores_follow_the_order_of_names():
+    rng = np.random.default_rng(1)
+    p, x = ranker.start(5, 8, 3), rng.normal(size=(9, 5))
+    order = rng.permutation(9)
+    assert np.allclose(ranker.scores(p, x)[order], ranker.scores(p, x[order]))
+    assert not np.allclose(ranker.scores(p, x)[:4], ranker.scores(p, x[:4]))  # but they do depend on who else is there
+
+
+@pytest.mark.parametrize("name", ["neg_pearson_rank", "hybrid_hinge", "squared_error"])
+def test_loss_values_and_slopes(spark, name):
+    rng = np.random.default_rng(2)
+    s, y = rng.normal(size=40), rng.normal(size=40)
+    value, slope = ranker.LOSSES[name](s, y)
+    steps = [(ranker.LOSSES[name](s + 1e-6 * e, y)[0] - ranker.LOSSES[name](s - 1e-6 * e, y)[0]) / 2e-6 for e in np.eye(40)]
+    assert np.allclose(slope, steps, atol=1e-5)
+    df = spark.createDataFrame([(day(0), i, float(a), float(b)) for i, (a, b) in enumerate(zip(s, y))], "date date, security_id long, score double, label double")
+    assert value == pytest.approx(getattr(losses, name)(df).first()["loss"], abs=1e-6)
+    p, x = ranker.start(3, 4, 0), rng.normal(size=(40, 3))
+    _, g = ranker.slopes(p, x, lambda z: ranker.LOSSES[name](z, y))
+    for k in p:
+        e = np.zeros(p[k].size)
+        e[0] = 1e-6
+        near = [ranker.LOSSES[name](ranker.scores({**p, k: p[k] + sign * e.reshape(p[k].shape)}, x), y)[0] for sign in (1, -1)]
+        assert g[k].ravel()[0] == pytest.approx((near[0] - near[1]) / 2e-6, abs=1e-4)
+
+
+@pytest.mark.parametrize("search", ["val", "inner"])
+def test_ridge_by_moments_equals_a_direct_fit(spark, search, tmp_path):
+    w, y = model_rows(spark)
+    splitter = PurgedWalkForward(2, 2, 2, 0.2)
+    p, fitted = models.fit_folds(w, ["a", "b"], y, splitter, models.WindowRidge([1e-4, 10.0], search=search), models.Training(min_valid_slots=5, monitor="val_loss"))
+    assert all(f["penalty"] == 1e-4 for f in fitted.folds.values())
+    base = models.summaries(w, ["a", "b"]).join(y, ["date", "security_id"]).toPandas()
+    days = sorted(base.date.unique())
+    fold = splitter.folds(len(days))[0]
+    train = base[base.date.isin(days[slice(*fold.train)])]
+    x = np.column_stack([np.ones(len(train)), train[fitted.inputs]])
+    direct = np.linalg.solve(x.T @ x / len(x) + np.diag([0, *[1e-4] * 6]), x.T @ train.label / len(x))
+    assert np.allclose(fitted.folds["fold_1"]["weights"], direct)
+    fitted.save(spark, str(tmp_path / "m"))
+    again = models.Fitted.load(spark, str(tmp_path / "m"))
+    rows = models.summaries(w, ["a", "b"])
+    key = lambda f: sorted(map(str, f.score(rows, "fold_2").collect()))
+    assert key(again) == key(fitted) and p.groupBy("fold").count().count() == 2
+
+
+def test_the_set_ranker_learns_stops_and_is_saved(spark, tmp_path):
+    w, y = model_rows(spark)
+    t = models.Training(loss="neg_pearson_rank", lr=0.01, batch_dates=4, max_epochs=12, early_stopping_patience=4, min_valid_slots=5, shards=2)
+    fit = lambda m, t=t: models.fit_folds(w, ["a", "b"], y, PurgedWalkForward(2, 2, 2, 0.2), m, t)
+    p, fitted = fit(models.SetRanker([4, 16]))
+    ic = losses.validation_ic(p.join(y, ["date", "security_id"])).first()[0]
+    assert ic > 0.6 and fitted.training["seed"] == 42 and min(fitted.training["monitored"].values()) > 0.6
+    key = lambda df: sorted((r["date"], r["security_id"], round(r["score"], 9)) for r in df.collect())
+    assert key(fit(models.SetRanker([4, 16]))[0]) == key(p)  # the same seed, the same model
+    fitted.save(spark, str(tmp_path / "m"))
+    rows = models.summaries(w, ["a", "b"])
+    assert key(models.Fitted.load(spark, str(tmp_path / "m")).score(rows)) == key(fitted.score(rows))
+    reg = spark.createDataFrame([(day(d), "High_Vol" if d % 2 else "Low_Vol") for d in range(80)], "date date, regime string")
+    part = {(r["regime"], r["feature"]): r["attribution"] for r in models.set_attribution(fitted, rows.withColumn("fold", F.lit("fold_2")), reg).collect()}
+    assert max(part, key=part.get)[1] == "a__last"
+    with pytest.raises(ValueError, match="can't be trained by"):
+        models.fit_folds(w, ["a", "b"], y, PurgedWalkForward(2, 2, 2, 0.2), models.WindowRidge(), models.Training(loss="hybrid_hinge"))
+
+
 def test_fold_assignment(spark):
     df = spark.createDataFrame([(day(n),) for n in range(60)] * 2, "date date")
     got = assign(df, PurgedWalkForward(2, 2, 2, 0.2)).groupBy("fold", "segment").count().collect()
@@ -395,9 +478,10 @@ def test_fold_assignment(spark):
 
 def test_csv_sources(spark, tmp_path):
     (tmp_path / "AAA.csv").write_text("Date, Open ,High,Low,Close,Volume\n2020-01-02,1,2,0.5,1.5,100\nnonsense,x,y,z,q,r\n2020-01-03,,,,,\n")
-    (tmp_path / "B.C.csv").write_text("date,open,high,low,close,volume\n2020-01-02,1,2,0.5,1.5,100\n")
-    got = sorted((r["ticker"], r["date"], r["close"]) for r in ticker_csv(spark, str(tmp_path)).collect())
-    assert got == [("AAA", dt.date(2020, 1, 2), 1.5), ("B-C", dt.date(2020, 1, 2), 1.5)]
+    (tmp_path / "B.C.csv").write_text(" Close,VOLUME, note,date,open,high,low\n1.5,100,x,2020-01-02,1,2,0.5\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = sorted((r["ticker"], r["date"], r["close"], r["volume"], r["open"]) for r in ticker_csv(spark, str(tmp_path)).collect())
+    assert got == [("AAA", dt.date(2020, 1, 2), 1.5, 100.0, 1.0), ("B-C", dt.date(2020, 1, 2), 1.5, 100.0, 1.0)]
     write_ticker_csv(ticker_csv(spark, str(tmp_path)), str(tmp_path / "out" / "bars"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "bars")).count() == 2
     f = tmp_path / "f"
