@@ -1,14 +1,13 @@
 """Metrics of predictions (date, security_id, score, label): within each day first, then over days.
 
 Every metric takes ``by``, further grouping columns (such as a fold); the value table then has
-one row per group, and the whole evaluation of all folds is one pass.
+one row per group, and the whole evaluation of all folds is one pass per daily value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,23 +35,36 @@ def _over(days: DataFrame, by: Sequence[str], value) -> DataFrame:
     return days.groupBy(*by).agg(value.alias("value")) if by else days.agg(value.alias("value"))
 
 
-@register("metric", "mean_ic")
-def mean_ic(df: DataFrame, min_stocks: int = 20, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:
-    days = daily_ic(df, min_stocks, by)
-    return _over(days, by, F.avg("ic")), days
+class DailyMetric:
+    """A metric in two steps: one value per day (``daily``), and an aggregate of the days (``value``).
 
+    Metrics whose first step is the same share it in ``evaluate``, which needs the rows of a day once for all folds.
+    """
+
+    def __init__(self, daily, value, shown: bool = True, defaults: dict | None = None, later: tuple[str, ...] = (), both: tuple[str, ...] = ()):
+        self.daily, self.value, self.shown, self.defaults, self.later, self.both = daily, value, shown, defaults or {}, later, both
+        self.__module__, self.__qualname__ = daily.__module__, daily.__qualname__
+
+    def split(self, kw: dict) -> tuple[dict, dict]:
+        """The arguments of the first and of the second step."""
+        kw = {**self.defaults, **kw}
+        return {k: v for k, v in kw.items() if k not in self.later}, {k: v for k, v in kw.items() if k in self.later or k in self.both}
 
-@register("metric", "icir")
-def icir(df: DataFrame, min_stocks: int = 20, periods_per_year: float | None = None, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:
+    def __call__(self, df: DataFrame, *args, by: Sequence[str] = (), **kw) -> tuple[DataFrame, DataFrame | None]:
+        first, second = self.split({**dict(zip(self.defaults, args)), **kw})
+        days = self.daily(df, by=by, **first)
+        return _over(days, by, self.value(**second)), days if self.shown else None
+
+
+def _icir(periods_per_year: float | None = None):
     """Mean over standard deviation of the daily IC; NULL for fewer than two days or no spread."""
-    scale = F.lit(float(periods_per_year) ** 0.5 if periods_per_year else 1.0)
     sd = F.stddev_samp("ic")
-    return _over(daily_ic(df, min_stocks, by), by, F.try_divide(F.avg("ic"), F.when(sd > 0, sd)) * scale), None
+    return F.try_divide(F.avg("ic"), F.when(sd > 0, sd)) * F.lit(float(periods_per_year) ** 0.5 if periods_per_year else 1.0)
 
 
-@register("metric", "ic_hit_rate")
-def ic_hit_rate(df: DataFrame, min_stocks: int = 20, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:
-    return _over(daily_ic(df, min_stocks, by), by, F.avg((F.col("ic") > 0).cast("double"))), None
+mean_ic = register("metric", "mean_ic")(DailyMetric(daily_ic, lambda: F.avg("ic"), defaults={"min_stocks": 20}))
+icir = register("metric", "icir")(DailyMetric(daily_ic, _icir, False, {"min_stocks": 20, "periods_per_year": None}, ("periods_per_year",)))
+ic_hit_rate = register("metric", "ic_hit_rate")(DailyMetric(daily_ic, lambda: F.avg((F.col("ic") > 0).cast("double")), False, {"min_stocks": 20}))
 
 
 def with_buckets(df: DataFrame, n: int, min_stocks: int, by: Sequence[str] = ()) -> DataFrame:
@@ -63,12 +75,13 @@ def with_buckets(df: DataFrame, n: int, min_stocks: int, by: Sequence[str] = ())
     return rows.where(F.col("_n") >= min_stocks).withColumn("bucket", bucket(F.col("_r"), F.col("_n"), n)).drop("_n", "_r")
 
 
-@register("metric", "decile_spread")
-def decile_spread(df: DataFrame, n: int = 10, cost_bps: float = 0.0, min_stocks: int = 20, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:
-    """Mean label of the top less the bottom bucket per day, net of costs; days that lack either are left out."""
+def daily_spread(df: DataFrame, n: int = 10, cost_bps: float = 0.0, min_stocks: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., date, spread): mean label of the top less the bottom bucket, net of costs; days that lack either are left out."""
     mean = lambda b: F.avg(F.when(F.col("bucket") == b, F.col("label")))
-    days = with_buckets(df, n, min_stocks, by).groupBy(*by, "date").agg((mean(n) - mean(1) - F.lit(cost_bps / 1e4)).alias("spread")).where("spread is not null")
-    return _over(days, by, F.avg("spread")), days
+    return with_buckets(df, n, min_stocks, by).groupBy(*by, "date").agg((mean(n) - mean(1) - F.lit(cost_bps / 1e4)).alias("spread")).where("spread is not null")
+
+
+decile_spread = register("metric", "decile_spread")(DailyMetric(daily_spread, lambda: F.avg("spread"), defaults={"n": 10, "cost_bps": 0.0, "min_stocks": 20}))
 
 
 def bucket_profile(df: DataFrame, n: int = 10, min_stocks: int = 20, by: Sequence[str] = ()) -> DataFrame:
@@ -97,32 +110,54 @@ def bucket_columns(df: DataFrame, n: int, min_stocks: int = 20) -> DataFrame:
     return b.groupBy("date").agg(*[F.avg(F.when(F.col("bucket") == i, F.col("label"))).alias(f"b{i}") for i in range(1, n + 1)])
 
 
-@register("metric", "decile_monotonicity")
-def decile_monotonicity(df: DataFrame, n: int = 10, min_stocks: int = 20, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:
-    """Spearman correlation of the bucket's number with its mean label."""
-    p = bucket_profile(df, n, min_stocks, by)
-    key = list(by) or [F.lit(0)]
-    ranked = p.select(*by, average_rank(F.col("bucket"), key).alias("a"), average_rank(F.col("label"), key).alias("b"))
-    return _over(ranked, by, correlation(F.col("a"), F.col("b"))), None
+def daily_profile(df: DataFrame, n: int = 10, min_stocks: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., date, means): the buckets' mean labels side by side, as an array."""
+    days = with_buckets(df, n, min_stocks, by).groupBy(*by, "date").agg(*[F.avg(F.when(F.col("bucket") == i, F.col("label"))).alias(f"b{i}") for i in range(1, n + 1)])
+    return days.select(*by, "date", F.array(*[f"b{i}" for i in range(1, n + 1)]).alias("means"))
+
+
+def _monotonicity(n: int = 10):
+    """Spearman correlation of the bucket's number with its mean label over the days; buckets without any label are left out."""
+    mean = F.filter(F.array(*[F.avg(F.get("means", F.lit(i))) for i in range(n)]), lambda m: m.isNotNull())
+    place = F.transform(mean, lambda m, i: (i + 1).cast("double"))
+    # the average rank: how many are smaller, and half of those that are equal
+    rank = F.transform(mean, lambda m: F.size(F.filter(mean, lambda o: o < m)) + (F.size(F.filter(mean, lambda o: o == m)) + 1) / 2)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    centred = lambda a: F.transform(a, lambda v: v - total(a) / F.size(a))
+    x, y = centred(place), centred(rank)
+    product = lambda a, b: total(F.zip_with(a, b, lambda u, v: u * v))
+    return F.try_divide(product(x, y), F.sqrt(product(x, x) * product(y, y)))
+
+
+decile_monotonicity = register("metric", "decile_monotonicity")(DailyMetric(daily_profile, _monotonicity, False, {"n": 10, "min_stocks": 20}, both=("n",)))
 
 
 def evaluate(predictions: DataFrame, labels: DataFrame, specs: Sequence[dict]) -> tuple[DataFrame, DataFrame]:
     """((fold, metric, value), (fold, date, metric, value)) for fold 'all' and each fold of the predictions.
 
-    The folds' rows and those of 'all' are one table with a grouping column, so each metric runs once.
+    A day lies in one fold, so each day is worked off once per first step, however many metrics share it; the days then count for their fold and for 'all'.
     """
     from rankloom import registry
 
     j = predictions.join(labels.where("label is not null"), ["date", "security_id"])
-    both = j.withColumn("fold", F.explode(F.array(F.lit("all"), F.col("fold")))).persist(StorageLevel.MEMORY_AND_DISK)  # read once per metric
-    values, days = None, None
+    first: dict[str, tuple[DataFrame, list]] = {}
+    shown = None
     for s in specs:
         kw = dict(s.get("kwargs", {}))
         name = kw.pop("alias", None) or s["func"]
-        v, d = registry.get("metric", s["func"])(both, by=["fold"], **kw)
-        v = v.select("fold", F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
+        m = registry.get("metric", s["func"])
+        a, b = m.split(kw)
+        key = f"{m.daily.__name__} {sorted(a.items())}"
+        if key not in first:
+            days = m.daily(j, by=["fold"], **a)
+            first[key] = (days.withColumn("fold", F.explode(F.array(F.lit("all"), F.col("fold")))), [])
+        first[key][1].append((name, m.value(**b)))
+        if m.shown:
+            d = first[key][0].select("fold", "date", F.lit(name).alias("metric"), F.col(first[key][0].columns[-1]).alias("value"))
+            shown = d if shown is None else shown.unionByName(d)
+    values = None
+    for days, columns in first.values():
+        wide = days.groupBy("fold").agg(*[c.cast("double").alias(f"m{i}") for i, (_, c) in enumerate(columns)])
+        v = wide.select("fold", F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"m{i}").alias("value")) for i, (name, _) in enumerate(columns)])).alias("x")).select("fold", "x.metric", "x.value")
         values = v if values is None else values.unionByName(v)
-        if d is not None:
-            d = d.select("fold", "date", F.lit(name).alias("metric"), F.col(d.columns[-1]).alias("value"))
-            days = d if days is None else days.unionByName(d)
-    return values, days
+    return values, shown

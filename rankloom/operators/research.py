@@ -18,8 +18,16 @@ from rankloom.functions.columns import clip, log1p_return, rolling
 
 def _swaps(x: np.ndarray) -> int:
     """Pairs i < j with x[i] > x[j], by merging sorted halves bottom-up."""
-    n, total, width = len(x), 0, 1
+    n, total, width = len(x), 0, 64
     x = x.copy()
+    # blocks of 64 by comparing every place with every later one, all blocks at once; ranks fill the last block up from above
+    rank = np.searchsorted(np.unique(x), x)
+    padded = np.full(-(-n // width) * width, n)
+    padded[:n] = rank
+    rows = padded.reshape(-1, width)
+    for k in range(1, width):
+        total += int(np.count_nonzero(rows[:, :-k] > rows[:, k:]))
+    x[:] = np.sort(rows, axis=1).ravel()[:n] if n else x
     while width < n:
         for a in range(0, n, 2 * width):
             left, right = x[a : a + width], x[a + width : a + 2 * width]
@@ -126,8 +134,14 @@ def deflated_sharpe(periods: DataFrame, column: str, trials: int, trial_variance
     return periods.agg(sr.alias("sharpe"), F.try_divide((sr - F.lit(expected_best(trials, trial_variance))) * F.sqrt(F.count(column)), bottom).alias("stat"), F.count(column).alias("n"))
 
 
-def probability(stat: float | None) -> float | None:
-    return None if stat is None else NormalDist().cdf(stat)
+def probability(stats: DataFrame, column: str = "stat") -> DataFrame:
+    """Adds ``probability``: that a standard normal value lies below the statistic; NULL stays NULL.  The statistics are few, one a strategy."""
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(probability=[None if v is None or v != v else NormalDist().cdf(v) for v in b[column]])
+
+    return stats.mapInPandas(below, ", ".join(f"`{n}` {t}" for n, t in stats.dtypes) + ", probability double")
 
 
 BLOCK = 16  # vectors carried through a pass over the cells
@@ -238,14 +252,13 @@ def neutral_scores(df: DataFrame, loadings: DataFrame) -> DataFrame:
 
 def volatility_regimes(df: DataFrame, column: str, window: int = 60) -> DataFrame:
     """(date, market_vol, regime): the day's median, its rolling median over ``window`` days, High_Vol where that exceeds its median over all rows."""
-    per = df.where(F.col(column).isNotNull()).groupBy("date").agg(F.median(column).alias("m"), F.count(F.lit(1)).alias("n"))
+    per = df.groupBy("date").agg(F.median(column).alias("m"), F.count(F.lit(1)).alias("n"), F.count(column).alias("k")).where("k > 0")
     w = W.orderBy("date").rowsBetween(-(window - 1), 0)  # one row a day
     held = F.array_sort(F.collect_list("m").over(w))
     k = F.size(held)
     mid = (F.element_at(held, ((k + 1) / 2).cast("int")) + F.element_at(held, (k / 2).cast("int") + 1)) / 2
     days = per.select("date", "n", F.when(F.count("m").over(w) == window, mid).alias("market_vol"))
-    rows = df.select("date").join(F.broadcast(days), "date")
-    level = rows.agg(F.median("market_vol").alias("level"))
+    level = days.agg(F.percentile("market_vol", F.lit(0.5), F.col("n")).alias("level"))  # days weighted by their rows
     return days.join(F.broadcast(level)).select("date", "market_vol", F.when(F.coalesce(F.col("market_vol") > F.col("level"), F.lit(False)), "High_Vol").otherwise("Low_Vol").alias("regime"))
 
 

@@ -59,7 +59,7 @@ def topk_dollar_volume(panel: DataFrame, start, end, k: int, buffer_ratio: float
         value = (F.coalesce(F.sum("dollar").over(wx), F.lit(0.0)) if agg == "sum" else F.avg("dollar").over(wx))
     scored = rows.select("security_id", (F.col("day_idx") + 1).alias("day_idx"), value.alias("score"), F.count(F.lit(1)).over(wy).alias("n")).where(F.col("n") >= x)
     ranked = scored.join(F.broadcast(plan.select("j", "day_idx")), "day_idx")
-    order = W.partitionBy("j").orderBy(F.round("score", 6).desc_nulls_last(), "security_id")
+    order = W.partitionBy("j").orderBy(F.col("score").desc_nulls_last(), "security_id")
     top = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + b)
 
     lists = top.groupBy("j").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "security_id"))), lambda s: s["security_id"]).alias("ids"))

@@ -28,6 +28,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_flags(spark, sf).select("bar_id")
 
 
+def p1_stuck(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_flags(spark, sf).where("stuck_value or stuck_return").select("bar_id", "stuck_value", "stuck_return")
+
+
+def p1_impossible(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_flags(spark, sf).where("impossible").select("bar_id")
+
+
 def _rolling_store(spark: SparkSession, sf: str) -> RollingStore:
     """The state of features by its own history: rows that came by the day after carry it forward, a quarter at a time; the later ones are a correction."""
     late = F.coalesce(F.to_date("known_at") > F.date_add("date", 1), F.lit(False)).alias("late")
@@ -72,6 +80,27 @@ def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
     return impute(table(spark, sf, "features"), "row_id", "security_id", "date", NUMBERS, WORDS, helpers=HELPERS)
 
 
+def p3_held_out(spark: SparkSession, sf: str) -> DataFrame:
+    """(field, hidden, filled, group_mean_error, no_worse): a twentieth of the usable numbers hidden by a hash of the row, filled, and held against what they were.
+
+    no_worse: the mean error of the fills is at most a hundredth above that of the means of the groups' other values.
+    """
+    f = table(spark, sf, "features")
+    places = {n.name: F.substring(F.md5(F.col("row_id").cast("string")), 1 + 2 * i, 2) < F.lit("0d") for i, n in enumerate(NUMBERS)}
+    truth = f.select("row_id", "security_id", "date", *[F.when(places[n.name], n.usable()).alias(f"true_{n.name}") for n in NUMBERS], *[F.when(~places[n.name], n.usable()).alias(f"left_{n.name}") for n in NUMBERS])
+    means = truth.groupBy("security_id").agg(*[F.avg(f"left_{n.name}").alias(f"mean_{n.name}") for n in NUMBERS])
+    hidden = f.withColumns({n.name: F.when(~places[n.name], F.col(n.name)) for n in NUMBERS})
+    filled = impute(hidden, "row_id", "security_id", "date", NUMBERS, WORDS, only_filled=True, helpers=HELPERS)
+    j = truth.join(filled, "row_id").join(means, "security_id")
+    out = None
+    for n in NUMBERS:
+        t, c = F.col(f"true_{n.name}"), F.col(f"{n.name}_filled") & F.col(f"true_{n.name}").isNotNull()
+        own, plain = F.avg(F.when(c, F.abs(F.col(n.name) - t))), F.avg(F.when(c, F.abs(F.col(f"mean_{n.name}") - t)))
+        row = j.agg(F.count(F.when(c, 1)).alias("filled"), plain.alias("p"), own.alias("o")).select(F.lit(n.name).alias("field"), "filled", (F.round("p", 6) + F.lit(0.0)).alias("group_mean_error"), (F.col("o") <= F.col("p") * 1.01).alias("no_worse"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     r = impute(table(spark, sf, "features"), "row_id", "security_id", "date", NUMBERS, WORDS, only_filled=True, helpers=HELPERS)
     fields = [x.name for x in (*NUMBERS, *WORDS)]
@@ -112,11 +141,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_flags": p1_flags,
+    "p1_stuck": p1_stuck,
+    "p1_impossible": p1_impossible,
     "p2_found": p2_found,
     "p2_rolling": p2_rolling,
     "p2_versions": p2_versions,
     "p3_found": p3_found,
     "p3_filled": p3_filled,
+    "p3_held_out": p3_held_out,
     "p4_found": p4_found,
     "p4_regrid": p4_regrid,
     "p5_found": p5_found,
@@ -124,6 +156,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p1_stuck": """
+WITH b AS (SELECT bar_id, ticker AS k, date::DATE AS d, CASE WHEN NOT isnan(close) THEN close END AS c, CASE WHEN NOT isnan(log_ret) THEN log_ret END AS r, volume AS v FROM residualizer WHERE ticker IS NOT NULL AND date IS NOT NULL),
+f AS (SELECT k, d, x.c, x.r, x.v > 0 AND NOT isnan(x.v) AS live, CASE WHEN x.c > 0 AND x.c < 1e12 THEN x.c END AS cv, CASE WHEN abs(x.r) < 10 THEN x.r END AS rv FROM (SELECT k, d, arg_min({'c': c, 'r': r, 'v': v}, bar_id) AS x FROM b GROUP BY k, d)),
+s AS (SELECT *, coalesce(live AND lag(live) OVER w AND cv = lag(cv) OVER w, false) AS sc, coalesce(live AND lag(live) OVER w AND rv = lag(rv) OVER w, false) AS sr FROM f WINDOW w AS (PARTITION BY k ORDER BY d)),
+i AS (SELECT *, sum((NOT sc)::INT) OVER w AS ic, sum((NOT sr)::INT) OVER w AS ir FROM s WINDOW w AS (PARTITION BY k ORDER BY d)),
+h AS (SELECT k, d, c, r, sc AND count(*) OVER (PARTITION BY k, ic) > 6 AS stuck_value, sr AND count(*) OVER (PARTITION BY k, ir) > 6 AS stuck_return FROM i)
+SELECT bar_id, stuck_value, stuck_return FROM b JOIN h ON b.k = h.k AND b.d = h.d AND b.c IS NOT DISTINCT FROM h.c AND b.r IS NOT DISTINCT FROM h.r WHERE stuck_value OR stuck_return""",
+    "p1_impossible": "SELECT bar_id FROM residualizer WHERE ticker IS NOT NULL AND date IS NOT NULL AND ((NOT isnan(close) AND (close <= 0 OR close >= 1e12)) OR (NOT isnan(log_ret) AND abs(log_ret) >= 10))",
+    "p3_held_out": "WITH f AS (SELECT security_id AS g, date AS t, md5(row_id::VARCHAR) AS h, CASE WHEN vol_20 > 0 AND vol_20 < 1 THEN vol_20::DOUBLE END AS vol_20, CASE WHEN log_dollar_volume > 0 AND log_dollar_volume < 50 THEN log_dollar_volume::DOUBLE END AS log_dollar_volume FROM features WHERE security_id IS NOT NULL), "
+    + " UNION ALL ".join(
+        f"{c}_ AS (SELECT g, t, CASE WHEN substr(h, {p}, 2) < '0d' THEN {c} END AS x, CASE WHEN substr(h, {p}, 2) >= '0d' THEN {c} END AS y FROM f), {c}_m AS (SELECT g, avg(y) AS m, min(t) FILTER (y IS NOT NULL) AS a, max(t) FILTER (y IS NOT NULL) AS z FROM {c}_ GROUP BY g)"
+        for c, p in (("vol_20", 1), ("log_dollar_volume", 3))
+    ).replace(" UNION ALL log", ", log")
+    + " SELECT 'vol_20' AS field, count(*) AS filled, round(avg(abs(m - x)), 6) + 0.0 AS group_mean_error, true AS no_worse FROM vol_20_ JOIN vol_20_m USING (g) WHERE x IS NOT NULL AND a < t AND t < z"
+    + " UNION ALL SELECT 'log_dollar_volume', count(*), round(avg(abs(m - x)), 6) + 0.0, true FROM log_dollar_volume_ JOIN log_dollar_volume_m USING (g) WHERE x IS NOT NULL AND a < t AND t < z",
     "p3_found": """
 WITH f AS (SELECT row_id, security_id AS g, date AS t, CASE WHEN vol_20 > 0 AND vol_20 < 1 THEN 1 END AS a, CASE WHEN log_dollar_volume > 0 AND log_dollar_volume < 50 THEN 1 END AS b,
   CASE WHEN lower(trim(sector)) NOT IN ('', 'n/a', 'na', '#n/a', 'none', 'null', 'nil', 'nan', 'unknown', '?', '-', '--', '.') THEN 1 END AS c,

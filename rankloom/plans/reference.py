@@ -20,7 +20,7 @@ from rankloom.operators import research as rs
 from rankloom.operators import splits as sp
 from rankloom.operators.labels import forward_return
 from rankloom.operators.universe import slots_by_day, topk_dollar_volume
-from rankloom.operators.windows import market_windows, windows
+from rankloom.operators.windows import market_windows, tensors, windows
 from rankloom.sources.panel import calendar, indexed, lineitem_weekly
 
 START, END = "1995-07-03", "2001-10-29"
@@ -196,6 +196,18 @@ def xf_zscore(spark, sf):
     return _long(_windows(spark, sf, transforms=[{"func": "cs_zscore"}]))
 
 
+@query
+def xf_zscore_population(spark, sf):
+    return _long(_windows(spark, sf, transforms=[{"func": "cs_zscore", "kwargs": {"ddof": 0}}]))
+
+
+@query
+def window_tensor(spark, sf):
+    """The windows as nested arrays, taken apart again by place."""
+    x = tensors(_windows(spark, sf), NAMES).select("date", "slot", F.posexplode("x").alias("lag", "v"))
+    return _round(x.select("date", "slot", "lag", F.posexplode("v").alias("feature", "v")).withColumn("v", F.round(F.col("v").cast("double"), 4)))
+
+
 @query
 def xf_clip(spark, sf):
     return _long(_windows(spark, sf, transforms=[{"func": "cs_zscore"}, {"func": "clip", "kwargs": {"lo": -1.5, "hi": 1.5, "features": ["log_ret"]}}]))
@@ -235,6 +247,13 @@ def split_purged(spark, sf):
     return _round(sp.fold_table(spark, sp.PurgedWalkForward(**SPLIT).folds(calendar(panel(spark, sf)).count())))
 
 
+@query
+def split_burn_in(spark, sf):
+    """The splits without validation part, tests with the windows' days before them."""
+    folds = sp.BurnInWalkForward(SPLIT["n_folds"], SPLIT["purge"], SPLIT["embargo"], LOOKBACK - 1).folds(calendar(panel(spark, sf)).count())
+    return _round(sp.fold_table(spark, folds))
+
+
 @query
 def metric_ic_by_date(spark, sf):
     return _round(mt.daily_ic(predictions(spark, sf), MIN_STOCKS))
@@ -361,6 +380,12 @@ def deflated_sharpe(spark, sf):
     return _round(rs.deflated_sharpe(_periods(spark, sf), "gross", 5, 0.3, FREQ))
 
 
+@query
+def deflated_probability(spark, sf):
+    """The statistic and the probability that it stands for, against few trials of little spread."""
+    return _round(rs.probability(rs.deflated_sharpe(_periods(spark, sf), "gross", 3, 0.01, FREQ)).select("stat", "probability"))
+
+
 @query
 def ic_trend(spark, sf):
     return _round(rs.trend(mt.daily_ic(predictions(spark, sf), MIN_STOCKS), "ic"))
@@ -487,7 +512,7 @@ def labelled_days(spark, sf):
 @query
 def scored_returns(spark, sf):
     """Returns of the scored names alone, from the first scored day on."""
-    p = predictions(spark, sf).where("score > 0.5")
+    p = predictions(spark, sf)
     first = p.agg(F.min("date").alias("first"))
     r = _returns(spark, sf).join(p.select("security_id").distinct(), "security_id", "left_semi").join(F.broadcast(first))
     return _round(r.where("date >= first").select("date", "security_id", "log_ret"))
@@ -525,6 +550,14 @@ def model_walk_forward(spark, sf):
     return _round(_fitted(spark, sf, WindowRidge())[0])
 
 
+@query
+def model_test_rows(spark, sf):
+    """Which names the model scores on which test days of which fold."""
+    from rankloom.operators.models import WindowRidge
+
+    return _round(_fitted(spark, sf, WindowRidge())[0].where("score is not null").select("date", "slot", "security_id", "fold"))
+
+
 @query
 def model_inner_search(spark, sf):
     """The same with the penalty chosen by a purged split of the training days alone."""

