@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -34,6 +36,14 @@ def cs_rank(x: Column, real: Column, day: WindowSpec) -> Column:
     return F.when((n >= 2) & v.isNotNull(), (F.row_number().over(day.orderBy(v.asc_nulls_last(), "slot")) - 1) / (n - 1) - F.lit(0.5))
 
 
+FILLS = ("zero", "ffill")
+
+
+def none_type(names: Sequence[str]) -> str:
+    """The type of a day's features inside a window."""
+    return "struct<at:int," + ",".join(f"`{n}`:double" for n in names) + ">"
+
+
 def windows(slots: DataFrame, features: DataFrame, names: Sequence[str], lookback: int, max_missing: int = 2, fill: str = "zero", transforms: Sequence[dict] = (), raw: bool = False) -> DataFrame:
     """(date, day_idx, slot, security_id, lag, real, <names>): lags 0 .. lookback - 1 of each slot, the last being the day before the decision.
 
@@ -42,23 +52,31 @@ def windows(slots: DataFrame, features: DataFrame, names: Sequence[str], lookbac
     such days.  With fill='ffill' gaps take the last value inside the window.  Transforms see missing values
     as NULL and real slots only; afterwards what is missing or not real is 0 (left as it is with ``raw``).
 
-    The window is an equi-join on (security_id, day): each decision's lags are generated, never
-    a range condition.  Statistics need the whole day's cross-section, so transforms cost one
+    A security's days and its decisions meet in one shuffle by security, where each decision takes its window as an array;
+    the mask and the filling are array operations on it.  Only then are the lags laid out as rows.  Statistics need the whole day's cross-section, so transforms cost one
     more shuffle, by (decision, lag).
     """
-    d = slots.where(F.col("day_idx") >= lookback).select("date", "day_idx", "slot", "security_id", F.explode(F.sequence(F.lit(0), F.lit(lookback - 1))).alias("lag"))
-    f = features.select("security_id", F.col("day_idx").alias("at"), *[F.col(n).cast("double").alias(n) for n in names])
-    x = d.withColumn("at", F.col("day_idx") - lookback + F.col("lag")).join(f, ["security_id", "at"], "left").drop("at")
-    own = W.partitionBy("day_idx", "slot")
-    gap = F.lit(False)
-    for n in names:
-        gap = gap | F.col(n).isNull()
-    x = x.withColumn("real", F.col("security_id").isNotNull() & (F.sum(gap.cast("int")).over(own) <= max_missing))
+    if fill not in FILLS:
+        raise ValueError(f"fill must be one of {', '.join(FILLS)}")
+    d = slots.where(F.col("day_idx") >= lookback)
+    cells = F.struct(F.col("day_idx").alias("at"), *[F.col(n).cast("double").alias(n) for n in names])
+    none = F.lit(None).cast(none_type(names))
+    known = features.where("security_id is not null").select("security_id", F.col("day_idx").cast("int").alias("day_idx"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("int").alias("slot"), cells.cast(none_type(names)).alias("v"))
+    asked = d.where("security_id is not null").select("security_id", F.col("day_idx").cast("int").alias("day_idx"), "date", F.col("slot").cast("int").alias("slot"), none.alias("v"))
+    before = W.partitionBy("security_id").orderBy("day_idx").rangeBetween(-lookback, -1)
+    x = known.unionByName(asked).withColumn("held", F.collect_list("v").over(before)).where("slot is not null").drop("v")
+    whole = lambda v: reduce(and_, [v[n].isNotNull() for n in names], F.lit(True))
+    x = x.withColumn("real", F.lit(lookback) - F.size(F.filter("held", whole)) <= max_missing)
+    # a place per lag: as they are if no day is absent, else looked up by their day
+    at = F.map_from_entries(F.transform("held", lambda v: F.struct(v["at"] - F.col("day_idx") + lookback, v)))
+    lags = F.sequence(F.lit(0), F.lit(lookback - 1))
+    x = x.withColumn("held", F.when(F.size("held") == lookback, F.col("held")).otherwise(F.transform(lags, lambda i: F.try_element_at(at, i))))
     if fill == "ffill":
-        w = own.orderBy("lag").rowsBetween(W.unboundedPreceding, 0)
-        x = x.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in names})
-    elif fill != "zero":
-        raise ValueError("fill must be 'zero' or 'ffill'")
+        step = lambda acc, v: F.array_append(acc, F.struct(v["at"].alias("at"), *[F.coalesce(v[n], F.try_element_at(acc, F.lit(-1))[n]).alias(n) for n in names]))
+        x = x.withColumn("held", F.aggregate("held", F.array().cast(f"array<{none_type(names)}>"), step))
+    pads = d.where("security_id is null").select("security_id", F.col("day_idx").cast("int").alias("day_idx"), "date", F.col("slot").cast("int").alias("slot"), F.array_repeat(none, lookback).alias("held"), F.lit(False).alias("real"))
+    x = x.unionByName(pads).select("date", "day_idx", "slot", "security_id", "real", F.posexplode("held").alias("lag", "v"))
+    x = x.select("date", "day_idx", "slot", "security_id", "lag", "real", *[F.col("v")[n].alias(n) for n in names])
     day = W.partitionBy("day_idx", "lag")
     for t in transforms:
         kw = dict(t.get("kwargs", {}))

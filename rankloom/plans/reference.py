@@ -21,6 +21,7 @@ from rankloom.operators import splits as sp
 from rankloom.operators.labels import forward_return
 from rankloom.operators.universe import slots_by_day, topk_dollar_volume
 from rankloom.operators.windows import market_windows, tensors, windows
+from rankloom.sources.files import Files
 from rankloom.sources.panel import calendar, indexed, lineitem_weekly
 
 START, END = "1995-07-03", "2001-10-29"
@@ -43,17 +44,26 @@ def query(fn: Query) -> Query:
     return fn
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+
+
+def release() -> None:
+    """Give up all tables that queries share."""
+    while _kept:
+        _kept.popitem()[1][1].unpersist()
 
 
 def kept(name: str, make: Query) -> Query:
-    """A table that many queries share (a pipeline would have stored it): made on first use, then held in memory or on disk."""
+    """A table that many queries share (a pipeline would have stored it): made on first use, then held in memory or on disk until the order lines' files change."""
 
     def get(spark: SparkSession, sf: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf, name)
-        if key not in _kept:
-            _kept[key] = make(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-        return _kept[key]
+        key, state = (spark.sparkContext.applicationId, sf, name), str(Files(spark).stamp(f"{sf}/lineitem.parquet"))
+        old = _kept.get(key)
+        if old is None or old[0] != state:
+            if old is not None:
+                old[1].unpersist()
+            _kept[key] = (state, make(spark, sf).persist(StorageLevel.MEMORY_AND_DISK))
+        return _kept[key][1]
 
     return get
 

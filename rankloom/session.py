@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def get_spark(app: str = "rankloom", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and benches; on a cluster the caller's own session is used."""
-    spark = (
+def get_spark(app: str = "rankloom", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and benches, with ``shared`` as its spark.checkpoint.dir; on a cluster the caller's own session is used."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -30,8 +30,10 @@ def get_spark(app: str = "rankloom", cores: int | str = "*", shuffle_partitions:
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared if "://" in shared else f"file://{shared}")
+    spark = builder.getOrCreate()
     ship(spark)
     return spark
 
