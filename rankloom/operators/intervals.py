@@ -3,13 +3,13 @@
 A mergeable aggregate: the state of a key is its sorted list of disjoint intervals, and
 two states combine by a merge of the two lists.  It is evaluated as a reduction tree -
 
-* leaves: every input partition reduces its own rows to one list per key (no shuffle),
+* leaves: every input partition reduces its own rows to lists per key, a buffer at a time (no shuffle),
 * inner level: the lists of a key meet in groups of at most ``1/fan`` of the leaves, so a
   key that holds a third of all rows is still spread over ``fan`` tasks,
 * root: the at most ``fan`` lists of a key meet, and lists and complements are emitted.
 
-Every node keeps only disjoint intervals (at whole days at most half the number of days
-per key) plus one buffer of fixed size, so no node grows with the number of input rows.
+A list has at most half as many intervals as there are days.  A leaf holds one buffer of fixed size, an inner node, whose lists come sorted,
+a buffer or the lists of one key, so no node grows with the number of rows or keys.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,37 +47,57 @@ def merge_sorted(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return k[first], s[first], reach[last]
 
 
-def _node(batches: Iterator[pa.RecordBatch], leaf: bool, slots: int) -> Iterator[pa.RecordBatch]:
-    """One node of the tree: reduces what reaches this task to disjoint lists per (key, slot)."""
-    kept: pa.Table | None = None
+def _reduced(parts: list[pa.RecordBatch]) -> pa.Table:
+    """Disjoint lists per (key, slot), keys in the order in which they come."""
+    t = pa.Table.from_batches(parts).combine_chunks()
+    code = t["k"].combine_chunks().dictionary_encode()
+    if isinstance(code, pa.ChunkedArray):
+        code = code.combine_chunks()
+    width = int(t["slot"].to_numpy().max()) + 1
+    k, s, e = merge_sorted(code.indices.to_numpy(zero_copy_only=False).astype(np.int64) * width + t["slot"].to_numpy(), t["s"].to_numpy(), t["e"].to_numpy())
+    return pa.table({"k": code.dictionary.take(pa.array(k // width)), "slot": pa.array((k % width).astype(np.int32)), "s": pa.array(s), "e": pa.array(e)})
+
+
+def _leaf(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """Reduces the rows of a partition buffer by buffer; what several buffers have of a key meets in the next level."""
+    mine = TaskContext.get().partitionId() % slots if TaskContext.get() else 0
     waiting: list[pa.RecordBatch] = []
     rows = 0
 
-    def reduce(parts: list) -> pa.Table:
-        t = pa.concat_tables([p if isinstance(p, pa.Table) else pa.Table.from_batches([p]) for p in parts]).combine_chunks()
-        code = t["k"].combine_chunks().dictionary_encode()
-        if isinstance(code, pa.ChunkedArray):
-            code = code.combine_chunks()
-        slot = t["slot"].to_numpy().astype(np.int64)
-        n = max(1, len(code.dictionary))
-        k, s, e = merge_sorted(code.indices.to_numpy(zero_copy_only=False).astype(np.int64) + n * slot, t["s"].to_numpy(), t["e"].to_numpy())
-        return pa.table({"k": code.dictionary.take(pa.array(k % n)), "slot": pa.array((k // n).astype(np.int32)), "s": pa.array(s), "e": pa.array(e)})
+    def give() -> Iterator[pa.RecordBatch]:
+        t = _reduced(waiting)
+        yield from t.set_column(1, "slot", pa.array(np.full(t.num_rows, mine, np.int32))).to_batches()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        waiting.append(b)
+        rows += b.num_rows
+        if rows >= BUFFER_ROWS:
+            yield from give()
+            waiting, rows = [], 0
+    if waiting:
+        yield from give()
+
 
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduces lists that come sorted by (key, slot): a buffer, and never less than one key's lists, is held at a time."""
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
     for b in batches:
         if not b.num_rows:
             continue
         waiting.append(b)
         rows += b.num_rows
-        if rows >= max(BUFFER_ROWS, kept.num_rows if kept is not None else 0):
-            kept, waiting, rows = reduce([*([kept] if kept is not None else []), *waiting]), [], 0
+        if rows >= BUFFER_ROWS:
+            t = pa.Table.from_batches(waiting).combine_chunks()
+            last = np.asarray(pa.compute.equal(t["k"], t["k"][-1]).to_numpy(), bool) & (t["slot"].to_numpy() == t["slot"][-1].as_py())
+            cut = int(np.argmax(last))
+            if cut:
+                yield from _reduced(t.slice(0, cut).to_batches()).to_batches()
+                waiting, rows = t.slice(cut).to_batches(), t.num_rows - cut
     if waiting:
-        kept = reduce([*([kept] if kept is not None else []), *waiting])
-    if kept is None:
-        return
-    if leaf:
-        mine = TaskContext.get().partitionId() % slots if TaskContext.get() else 0
-        kept = kept.set_column(1, "slot", pa.array(np.full(kept.num_rows, mine, np.int32)))
-    yield from kept.to_batches(max_chunksize=BUFFER_ROWS)
+        yield from _reduced(waiting).to_batches()
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str, fan: int = 32) -> DataFrame:
@@ -91,9 +112,9 @@ def merge_intervals(df: DataFrame, key: str, start: str, end: str, fan: int = 32
     rows = df.select(
         F.col(key).alias("k"), F.lit(0).alias("slot"), F.unix_date(F.col(start).cast("date")).cast("long").alias("s"), F.unix_date(F.col(end).cast("date")).cast("long").alias("e")
     ).where(F.col("k").isNotNull() & (F.col("s") < F.col("e")))
-    leaves = rows.mapInArrow(lambda it: _node(it, True, fan), schema)
-    inner = leaves.repartition("k", "slot").mapInArrow(lambda it: _node(it, False, fan), schema)
-    top = inner.withColumn("slot", F.lit(0)).repartition("k").mapInArrow(lambda it: _node(it, False, fan), schema)
+    leaves = rows.mapInArrow(lambda it: _leaf(it, fan), schema)
+    inner = leaves.repartition("k", "slot").sortWithinPartitions("k", "slot").mapInArrow(_inner, schema)
+    top = inner.withColumn("slot", F.lit(0)).repartition("k").sortWithinPartitions("k").mapInArrow(_inner, schema)
     day = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
     return top.select(F.col("k").alias(key), day("s").alias("from_day"), day("e").alias("to_day"))
 

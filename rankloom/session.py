@@ -41,19 +41,25 @@ def get_spark(app: str = "rankloom", cores: int | str = "*", shuffle_partitions:
 _shipped: set[str] = set()
 
 
+def served_folder(spark: SparkSession, what: str) -> str:
+    """A new folder for files that the driver hands out by addFile: in the shared folder where the driver has it mounted, else among its own files."""
+    shared = shared_dir(spark).removeprefix("file://")
+    try:
+        if shared.startswith("/"):
+            os.makedirs(shared, exist_ok=True)
+            return tempfile.mkdtemp(prefix=f"rankloom-{what}-", dir=shared)
+    except OSError:
+        pass
+    return tempfile.mkdtemp(prefix=f"rankloom-{what}-")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers of the session's executors, once per application."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     here = Path(__file__).resolve().parent
-    shared = shared_dir(spark).removeprefix("file://")
-    try:  # in the shared folder where the driver has it mounted; else the driver serves its own copy
-        os.makedirs(shared, exist_ok=True) if shared.startswith("/") else None
-        folder = tempfile.mkdtemp(prefix="rankloom-code-", dir=shared if shared.startswith("/") else None)
-    except OSError:
-        folder = tempfile.mkdtemp(prefix="rankloom-code-")
-    target = Path(folder) / "rankloom.zip"
+    target = Path(served_folder(spark, "code")) / "rankloom.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f"rankloom/{f.relative_to(here)}")
