@@ -19,7 +19,6 @@ from __future__ import annotations
 import os
 import pickle
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import text as tx
 from rankloom.llm.fmindex import FMIndex
+from rankloom.session import served_folder
 
 PHRASE = 3
 SEEDS = 6  # 20 words in runs of at least PHRASE words hold no fewer phrases
@@ -238,7 +238,7 @@ class Blocks:
     def __init__(self, items: DataFrame, part: Callable[[str], str], limit: int):
         self.tag = f"items-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        self._folder = tempfile.mkdtemp(prefix="rankloom-items-")  # on the driver, which serves the files
+        self._folder = served_folder(items.sparkSession, "items")
         self._context = items.sparkSession.sparkContext
         vocab = np.zeros(0, np.uint64)
         held: list = []

@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +29,22 @@ from rankloom.llm import text as tx
 from rankloom.session import written
 
 SLICES = 4096
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MOST_SOURCES = 10_000  # rows of the targets, which the driver holds
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # ranks of a byte-level BPE vocabulary; the driver hands the file to the executors
 # fixed value: the published pattern that splits texts for this vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict = {}
 
 
-def _encoder(path: str):
-    if path not in _encoders:
+def _encoder(name: str):
+    """From the file that the driver handed out under this name."""
+    if name not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        _encoders[name] = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[name]
 
 
 def clean_source(c: Column) -> Column:
@@ -67,16 +71,17 @@ def _steps(mean: float, cap: int) -> list[float]:
 
 def sized(documents: DataFrame, doc: str, text: str, source: str, seed: int, tokenizer: str) -> DataFrame:
     """(source, u, tokens) per document; the texts stay where they are."""
-    kind = "string"
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
     rows = documents.select(clean_source(F.col(source)).alias("s"), _uniform(F.coalesce(F.col(doc).cast("string"), F.col(text)), seed).alias("u"), F.col(text).alias("t"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(tokenizer)
+        e = _encoder(name)
         for b in batches:
             n = [len(e.encode_ordinary(t)) if t else 0 for t in tx.column(b, "t")]
             yield pa.RecordBatch.from_arrays([b["s"], b["u"], pa.array(n, pa.int64())], names=["s", "u", "n"])
 
-    return rows.mapInArrow(measure, f"s {kind}, u double, n long")
+    return rows.mapInArrow(measure, "s string, u double, n long")
 
 
 class Mix:
@@ -84,7 +89,9 @@ class Mix:
 
     def __init__(self, documents: DataFrame, targets: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, tokenizer: str = TOKENIZER, refill: bool = True):
         self.documents, self.doc, self.text, self.source, self.seed = documents, doc, text, source, seed
-        rows = targets.select(clean_source(F.col("source")).alias("s"), F.col("target_share").cast("double").alias("w"), F.col("max_repeats").cast("int").alias("c")).where("s is not null and w is not null and w >= 0").groupBy("s").agg(F.sum("w").alias("w"), F.min(F.coalesce("c", F.lit(1))).alias("c")).collect()
+        rows = targets.select(clean_source(F.col("source")).alias("s"), F.col("target_share").cast("double").alias("w"), F.col("max_repeats").cast("int").alias("c")).where("s is not null and w is not null and w >= 0").groupBy("s").agg(F.sum("w").alias("w"), F.min(F.coalesce("c", F.lit(1))).alias("c")).limit(MOST_SOURCES + 1).collect()
+        if len(rows) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources in the targets")
         self.targets = {r["s"]: (r["w"], max(int(r["c"]), 0)) for r in rows}
         self.sizes = written(sized(documents, doc, text, source, seed, tokenizer), "mix-sizes")
         names = list(self.targets)
@@ -112,7 +119,8 @@ class Mix:
                 left = self.total - sum(most[s] for s in full)
                 rest = sum(self.targets[s][0] for s in want if s not in full)
                 want = {s: most[s] if s in full else (self.targets[s][0] / rest * left if rest else 0.0) for s in want}
-        return {s: self._mean(s, min(want[s], most[s]), most[s]) for s in want}
+        self.wanted = {s: min(want[s], most[s]) for s in want}
+        return {s: self._mean(s, self.wanted[s], most[s]) for s in want}
 
     def _drawn(self, s: str, mean: float) -> float:
         u = (np.arange(SLICES) + 0.5) / SLICES
@@ -149,8 +157,17 @@ class Mix:
         rows = rows.withColumn("place", F.xxhash64(F.lit(self.seed + 1), "doc", "copy"))
         return rows.repartition("place").sortWithinPartitions("place").select("source", F.col("doc").alias(self.doc), "copy", "text")
 
+    def checked(self, within: float = 0.02) -> DataFrame:
+        """(source, documents, max_repeats, capped, reached): whether no document of a source is used more often than its cap, and whether the source gives what it should.
+
+        It should give its share of the corpus' size (where others can't give theirs, more), or all it has at its cap; reached tells if it is off by less than ``within`` of that.
+        """
+        wanted = self.documents.sparkSession.createDataFrame([(s, float(v)) for s, v in sorted(self.wanted.items())], "source string, wanted double")
+        r = self.report().join(F.broadcast(wanted), "source")
+        return r.select("source", "documents", "max_repeats", (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"), (F.abs(F.col("tokens") - F.col("wanted")) <= within * F.col("wanted")).alias("reached"))
+
     def report(self) -> DataFrame:
-        """(source, target_share, documents, tokens_available, used, most_repeats, tokens, share): what each target source gives to the mix."""
+        """(source, target_share, max_repeats, documents, tokens_available, used, most_repeats, tokens, share): what each target source gives to the mix."""
         k = self.copies(F.col("s"), F.col("u"))
         per = self.sizes.where(F.col("s").isin(*self.targets)).select("s", "n", k.alias("k")).groupBy("s").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens_available"), F.sum("k").alias("used"), F.max("k").alias("most_repeats"), F.sum(F.col("n") * F.col("k")).alias("tokens")) if self.targets else None
         spark = self.documents.sparkSession
