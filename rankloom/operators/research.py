@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.columns import clip, log1p_return, rolling
+from rankloom.session import written
 
 
 def _swaps(x: np.ndarray) -> int:
@@ -299,9 +300,16 @@ def strict_intersection(df: DataFrame) -> DataFrame:
     return kept.join(F.broadcast(days), "date", "left_semi")
 
 
-def stock_ids(df: DataFrame, column: str) -> DataFrame:
-    """(column, stock_id): dense numbers from 0 in order of the distinct values (one row each)."""
-    return df.select(column).where(F.col(column).isNotNull()).distinct().select(column, (F.row_number().over(W.orderBy(column)) - 1).alias("stock_id"))
+def stock_ids(df: DataFrame, name: str) -> DataFrame:
+    """(name, stock_id): the distinct names numbered from 0 in their order.
+
+    Names are parted into ranges and numbered within each; the parts' sizes, one row a part, give where each begins.
+    """
+    parts = df.select(name).where(F.col(name).isNotNull()).distinct().repartitionByRange(name).select(name, F.spark_partition_id().alias("part"))
+    parts = written(parts, "names")  # parts must not change between the two readings
+    before = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
+    return parts.join(F.broadcast(before), "part").select(name, (F.col("first") + F.row_number().over(W.partitionBy("part").orderBy(name)) - 1).alias("stock_id"))
 
 
 def legacy_features(panel: DataFrame, bounds: tuple[float, float] = (-0.5, 0.5), vol_n: int = 60, short: int = 20, long: int = 60) -> DataFrame:

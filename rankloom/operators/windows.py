@@ -88,10 +88,14 @@ def windows(slots: DataFrame, features: DataFrame, names: Sequence[str], lookbac
     return x.select("date", "day_idx", "slot", "security_id", "lag", "real", *names)
 
 
-def tensors(long: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(date, slot, security_id, real, x): the window of each slot as array<array<float>> [lag][feature]."""
+def tensors(long: DataFrame, names: Sequence[str], lookback: int | None = None) -> DataFrame:
+    """(date, slot, security_id, real, x): the window of each slot as array<array<float>> [lag][feature]; with ``lookback``, a window of another length is an error."""
     row = F.struct("lag", F.array(*[F.col(n).cast("float") for n in names]).alias("v"))
-    return long.groupBy("date", "day_idx", "slot", "security_id", "real").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["v"]).alias("x"))
+    out = long.groupBy("date", "day_idx", "slot", "security_id", "real").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["v"]).alias("x"))
+    if lookback is None:
+        return out
+    wrong = F.raise_error(F.concat(F.lit(f"a window of {lookback} days was expected, not of "), F.size("x").cast("string")))
+    return out.withColumn("x", F.when(F.size("x") == lookback, F.col("x")).otherwise(wrong.cast("array<array<float>>")))
 
 
 def market_windows(decisions: DataFrame, market: DataFrame, cal: DataFrame, lookback: int) -> DataFrame:

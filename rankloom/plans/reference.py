@@ -214,7 +214,7 @@ def xf_zscore_population(spark, sf):
 @query
 def window_tensor(spark, sf):
     """The windows as nested arrays, taken apart again by place."""
-    x = tensors(_windows(spark, sf), NAMES).select("date", "slot", F.posexplode("x").alias("lag", "v"))
+    x = tensors(_windows(spark, sf), NAMES, LOOKBACK).select("date", "slot", F.posexplode("x").alias("lag", "v"))
     return _round(x.select("date", "slot", "lag", F.posexplode("v").alias("feature", "v")).withColumn("v", F.round(F.col("v").cast("double"), 4)))
 
 

@@ -483,6 +483,13 @@ def test_swaps_by_counting(n):
     assert research._swaps(x) == sum(int((x[:i] > x[i]).sum()) for i in range(n))
 
 
+def test_names_are_numbered_in_order(spark):
+    names = [f"N{i:04d}" for i in np.random.default_rng(0).permutation(500)]
+    got = research.stock_ids(spark.createDataFrame([(n,) for n in names + names[:50]] + [(None,)], "ticker string"), "ticker").collect()
+    assert {r["ticker"]: r["stock_id"] for r in got} == {n: i for i, n in enumerate(sorted(names))} and len(got) == 500
+    assert research.stock_ids(spark.createDataFrame([], "ticker string"), "ticker").count() == 0
+
+
 def test_csv_sources(spark, tmp_path):
     (tmp_path / "AAA.csv").write_text("Date, Open ,High,Low,Close,Volume\n2020-01-02,1,2,0.5,1.5,100\nnonsense,x,y,z,q,r\n2020-01-03,,,,,\n")
     (tmp_path / "B.C.csv").write_text(" Close,VOLUME, note,date,open,high,low\n1.5,100,x,2020-01-02,1,2,0.5\n")
