@@ -9,7 +9,8 @@ autoregression's filter makes of the event:
   (1, -phi, ..., -1, phi), overlaid for p = 1;
 * level shift: the level leaves and stays, so e shows (1, -phi); such a move is honest.
 
-Of overlapping events the one with the largest statistic is taken.  An outlier by more than ``limit``
+All readings of an outlier are off, and the level that it leaves and returns to is that of the AROUND readings on each side.
+Of overlapping events the one with the largest statistic is taken, shifts of a series once no more outliers are found there.  An outlier by more than ``limit``
 usual spreads is a spike and leaves the series, a shift of that size leaves the innovations; spread and
 autoregression are estimated anew.  Deviations of more than ``patch`` readings that return are two level shifts.
 At the ends of a series an outlier and a shift look the same; there the reported return decides.
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 1 << 17
+AROUND = 5  # readings on each side that tell the level around
 REASONS = ("spike_value", "spike_return", "stuck_value", "stuck_return", "impossible")
 DEFAULTS = {"limit": 10.0, "patch": 4, "repeats": 6, "value_max": 1e12, "return_max": 10.0}
 _CONTEXT = ("spread", "centre", "path", "before", "after", "run_v_before", "run_v_after", "run_r_before", "run_r_after", "v_before", "v_after", "r_before", "r_after")
@@ -109,7 +111,15 @@ def _shifted(v: np.ndarray, own: np.ndarray, by: int, empty: float) -> np.ndarra
     return out
 
 
-def _events(d: np.ndarray, sg: np.ndarray, phi: np.ndarray, s: np.ndarray, limit: float, patch: int) -> tuple[np.ndarray, np.ndarray]:
+def _near_median(x: np.ndarray, seg: np.ndarray, at: np.ndarray, offsets: range) -> np.ndarray:
+    """Median of x at ``at + offset`` within the segment of ``at``."""
+    i = at[:, None] + np.array(offsets)[None, :]
+    j = np.clip(i, 0, max(len(x) - 1, 0))
+    v = np.where((i == j) & (seg[j] == seg[at][:, None]), x[j], np.nan)
+    return np.nanmedian(v, axis=1) if len(at) else np.zeros(0)
+
+
+def _events(xs: np.ndarray, d: np.ndarray, sg: np.ndarray, phi: np.ndarray, s: np.ndarray, limit: float, patch: int) -> tuple[np.ndarray, np.ndarray]:
     """(readings in additive outliers, readings with a level shift) found in one round."""
     f = phi[sg]
     calm = np.nan_to_num(d)
@@ -132,6 +142,10 @@ def _events(d: np.ndarray, sg: np.ndarray, phi: np.ndarray, s: np.ndarray, limit
                 size = (e - f * at[1] - at[p] + f * at[p + 1]) / w
             back = inside & np.isfinite(_shifted(d, sg, p, np.nan))
             i = np.flatnonzero(back & (np.abs(size) > limit * s))
+            # all its readings are off, and what it leaves and returns to is the level around, not two outliers on either side of ordinary readings
+            level, far = (xs[i - 1] + xs[i + p]) / 2, np.abs(size[i]) / 2
+            off = np.logical_and.reduce([np.sign(size[i]) * (xs[i + k] - level) > far for k in range(p)])
+            i = i[off & (np.abs(_near_median(xs, sg, i - 1, range(-AROUND + 1, 1)) - level) < far) & (np.abs(_near_median(xs, sg, i + p, range(AROUND)) - level) < far)]
             found.append((i, (np.abs(size) * np.sqrt(w) / s)[i], p))
     best = np.zeros(n + patch + 2)
     for i, tau, p in found:
@@ -175,7 +189,7 @@ def detect(seg: np.ndarray, value: np.ndarray, ret: np.ndarray, volume: np.ndarr
         sd = np.where(np.isfinite(sd), sd, sd_x)
         phi = _autoregression(quiet, sg, sd, n)
         s = sd[sg]
-        outlier, moved = _events(quiet, sg, phi, s, limit, patch)
+        outlier, moved = _events(xs, quiet, sg, phi, s, limit, patch)
         # at either end there is nothing to return to: the reported return is nearer to no move than to the jump
         with np.errstate(invalid="ignore"):
             unlike = (np.abs(d) > limit * s) & (np.abs(rr) < np.abs(rr - d)) & ~outlier
@@ -183,7 +197,8 @@ def detect(seg: np.ndarray, value: np.ndarray, ret: np.ndarray, volume: np.ndarr
         at_end = unlike & np.r_[change, True] if len(xs) else unlike
         at_start = np.r_[unlike[1:] & np.r_[True, change][:-1] & ~change, False] if len(xs) else unlike
         found = outlier | at_end | at_start
-        moved &= ~found & ~shift[good]
+        # a shift beside an outlier may be part of it: shifts of a series wait until no more outliers are found there
+        moved &= ~shift[good] & (np.bincount(sg, found, minlength=n) == 0)[sg]
         spike[good[found]] = True
         shift[good[moved]] = True
         # returns: large ones that the clean readings on both sides don't show

@@ -155,6 +155,8 @@ def test_outlier_and_shift_are_held_against_each_other():
     both = flags(x * np.exp(0.5 * (np.arange(120) >= 40)) * np.exp(-0.6 * (np.arange(120) == 43)), r)
     assert np.flatnonzero(both["spike_value"]).tolist() == [43]
     assert not flags(x * up(*range(60, 65)), r)["spike_value"].any()
+    for apart in (2, 3, 4, 5):  # two spikes are not the ordinary readings between them
+        assert np.flatnonzero(flags(x * up(50, 50 + apart), r)["spike_value"]).tolist() == [50, 50 + apart]
     uneven = flags(x * np.exp(0.5 * (np.arange(120) == 70) + 1.9 * (np.arange(120) == 71)), r)
     assert np.flatnonzero(uneven["spike_value"]).tolist() == [70, 71]
 
