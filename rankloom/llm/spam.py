@@ -274,10 +274,13 @@ def _counted(documents: DataFrame, text: str, count) -> DataFrame:
 
 
 def _spellings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code, texts): in how many texts each word occurs."""
+    """(code, texts): in how many texts each word without digits occurs."""
     w = tx.words([t.lower() if t.isascii() else tx.unicodedata.normalize("NFC", t) for t in texts])
-    own = np.unique(w.code ^ (w.text.astype(np.uint64) * _MIX), return_index=True)[1]
-    code, n = np.unique(w.code[own], return_counts=True)
+    digits = np.concatenate([[0], np.cumsum(_KIND[w.data] == 2)])
+    word = digits[w.end] == digits[w.start]
+    code, text = w.code[word], w.text[word]
+    own = np.unique(code ^ (text.astype(np.uint64) * _MIX), return_index=True)[1]
+    code, n = np.unique(code[own], return_counts=True)
     return code.view(np.int64), n.astype(float)
 
 
