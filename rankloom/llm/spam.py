@@ -124,10 +124,26 @@ def _said_before(key: np.ndarray, window: int) -> np.ndarray:
     n = len(key)
     order = np.argsort(key, kind="stable")
     k = key[order]
-    head = np.cumsum(np.r_[False, k[1:] != k[:-1]]) if n else order
-    place = head * np.int64(n + window + 1) + order
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], at, 0)) if n else at
+    count = at - first
+    # only where the first of the equal keys lies further back is there anything to leave out
+    far = np.flatnonzero(order - order[first] > window)
+    if len(far):
+        place = first * np.int64(n + window + 1) + order
+        count[far] = far - np.searchsorted(place, place[far] - window)
     out = np.empty(n, np.int64)
-    out[order] = np.arange(n) - np.searchsorted(place, place - np.minimum(order, window))
+    out[order] = count
+    return out
+
+
+def _echoes(key: np.ndarray, times: int, window: int) -> np.ndarray:
+    """Whether at least ``times`` of the ``window`` keys before each are equal to it."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    out = np.zeros(len(key), bool)
+    if len(key) > times:
+        out[order[times:]] = (k[times:] == k[:-times]) & (order[times:] - order[:-times] <= window)
     return out
 
 
@@ -182,7 +198,7 @@ def _prose(s: Sequence) -> np.ndarray:
     if len(w) > 1:
         c = s.code[w]
         two = (c[:-1] * np.uint64(31) + c[1:] * np.uint64(1009) + s.text[w[1:]].astype(np.uint64)) * _MIX
-        often = (_said_before(two, NEAR) >= AGAIN) & (s.text[w[1:]] == s.text[w[:-1]])
+        often = _echoes(two, AGAIN, NEAR) & (s.text[w[1:]] == s.text[w[:-1]])
         echo[w[:-1][often]] = echo[w[1:][often]] = True
     share = np.bincount(s.text, echo, minlength=s.texts) / np.maximum(np.bincount(s.text, k >= CONTENT, minlength=s.texts), 1)
     return built & (share <= ECHO)[s.text]

@@ -274,7 +274,10 @@ def test_words_said_before():
     rng = np.random.default_rng(3)
     key = rng.integers(0, 9, 500)
     got = spam._said_before(key.astype(np.uint64), 40)
-    assert got.tolist() == [int((key[max(0, i - 40) : i] == key[i]).sum()) for i in range(500)]
+    counts = [int((key[max(0, i - 40) : i] == key[i]).sum()) for i in range(500)]
+    assert got.tolist() == counts
+    assert spam._echoes(key.astype(np.uint64), 3, 40).tolist() == [c >= 3 for c in counts]
+    assert spam._said_before(key.astype(np.uint64), 600).tolist() == [int((key[:i] == key[i]).sum()) for i in range(500)]
 
 
 def test_perplexity_decides_alone():
