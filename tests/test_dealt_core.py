@@ -2,9 +2,13 @@
 
 import datetime as dt
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,6 +148,44 @@ def test_a_series_is_never_cut(spark, offset):
     assert {500, 1900, 10500, 11900} <= got and not got & {300, 700, 1100}
 
 
+WORKER = """
+import sys
+import pyarrow as pa
+from rankloom.operators import spikes
+spikes.SHARD_ROWS = 500
+out = list(spikes._work(pa.ipc.open_stream(sys.stdin.buffer), {}))
+with pa.ipc.new_stream(sys.stdout.buffer, out[0].schema) as w:
+    for b in out:
+        w.write_batch(b)
+"""
+
+
+def test_full_shards_in_a_worker_that_did_nothing_before():
+    """As a Spark worker does, it reads Arrow batches and has loaded nothing else; series go on over batches, one is longer than a shard."""
+    parts, wanted = [], set()
+    for j, (k, n) in enumerate({"A": 300, "B": 1500, "C": 199, "D": 301, "E": 700}.items()):
+        x, r = series(n, j)
+        x = x.copy()
+        x[[20, n // 2, n - 20]] *= 1.3
+        f = flags(x, r)
+        hit = np.flatnonzero(np.logical_or.reduce([f[c] for c in spikes.REASONS]))
+        assert {20, n // 2, n - 20} <= set(hit.tolist())
+        wanted |= {(k, int(i)) for i in hit}
+        parts.append(pa.table({"k": [k] * n, "d": pa.array(range(n), pa.int32()), "value": x, "ret": r, "volume": np.ones(n), "more": np.zeros(n, bool)}))
+    t = pa.concat_tables(parts).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        for b in t.to_batches(max_chunksize=250):
+            w.write_batch(b)
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    done = subprocess.run([sys.executable, "-c", WORKER], input=sink.getvalue().to_pybytes(), capture_output=True, env=env, timeout=120)
+    assert done.returncode == 0, done.stderr.decode()
+    out = list(pa.ipc.open_stream(done.stdout))
+    assert len(out) > 2
+    got = [(k, d) for b in out for k, d in zip(b["k"].to_pylist(), b["d"].to_pylist(), strict=True)]
+    assert sorted(got) == sorted(wanted)
+
+
 def test_outlier_and_shift_are_held_against_each_other():
     x, r = series()
     up = lambda *at: np.exp(0.5 * np.isin(np.arange(120), at))
